@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, token_counts, token_files
+from . import mixing, simhash, token_counts, token_files
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(F.broadcast(store.shard_starts()), "shard").select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.with_copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -54,6 +58,7 @@ FROM r
 
 QUERIES = {
     "op6_token_files": op6_token_files,
+    "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op10_token_counts": op10_token_counts,
 }

@@ -15,6 +15,8 @@ from .components import connected_components
 BITS = 64
 #: Fingerprints sampled for the estimates (by smallest hash: the same ones in every run).
 SAMPLE = 4096
+#: Flipped bits that a probe may have in one group: this bounds the masks that a plan holds.
+MOST_FLIPS = 2
 #: Fingerprints of one index bucket that one block holds; larger buckets are split into blocks.
 BLOCK = 4096
 
@@ -111,12 +113,12 @@ def allocate(sample: np.ndarray, groups: list[list[int]], tau: int, n: int) -> t
         # unseen distances count as if the bits were independent and fair
         fair = np.array([comb(w, k) / 2.0**w for k in range(tau + 1)])
         share = np.cumsum(np.maximum(seen[: tau + 1] / pairs, fair))
-        costs.append([0.0] + [3.0 * n * sum(comb(w, j) for j in range(t + 1)) + n * n / 2 * share[t] * 0.02 for t in range(tau + 1)])
+        costs.append([0.0] + [(3.0 * n + 1000) * sum(comb(w, j) for j in range(t + 1)) + n * n / 2 * share[t] * 0.02 for t in range(tau + 1)])
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for c in costs:
         step: dict[int, tuple[float, list[int]]] = {}
         for total, (cost, ts) in best.items():
-            for t in range(-1, tau + 1):
+            for t in range(-1, min(tau, MOST_FLIPS) + 1):
                 new = (cost + c[t + 1], [*ts, t])
                 if total + t + 1 <= tau + 1 and (total + t + 1 not in step or new[0] < step[total + t + 1][0]):
                     step[total + t + 1] = new
@@ -125,9 +127,9 @@ def allocate(sample: np.ndarray, groups: list[list[int]], tau: int, n: int) -> t
 
 
 def plan(sample: np.ndarray, n: int, tau: int) -> list[tuple[int, list[int]]]:
-    """(group mask, flip masks to probe) of the cheapest grouping into 2 to tau + 1 groups."""
+    """(group mask, flip masks to probe) of the cheapest grouping into up to tau + 1 groups."""
     options = []
-    for parts in range(2, tau + 2):
+    for parts in range(min(3, tau + 1), tau + 2):
         groups = bit_groups(sample, parts)
         cost, ts = allocate(sample, groups, tau, n)
         options.append((cost, parts, [(sum(1 << b for b in g), _masks(g, t)) for g, t in zip(groups, ts) if t >= 0]))
