@@ -6,10 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, token_counts, token_files
+from . import decontamination, mixing, simhash, token_counts, token_files, toxicity
 from .common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_files.TokenStore.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     read = store.digests(store.entries.select("doc_id", "ordinal"))
@@ -57,6 +66,8 @@ FROM r
 """
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op5_decontamination": op5_decontamination,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
