@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import functools
 import json
+import os
+import re
 
 import numpy as np
-import regex
 
-#: Pieces that one process keeps, and the longest that it keeps.
-KEPT_PIECES, KEPT_CHARS = 300_000, 64
-#: The pre-tokenisation pattern of byte-level BPE vocabularies of this kind.
-BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Only in texts of these characters is a piece cut here surely the piece that the library cuts.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*")
+#: Pieces that one process keeps in each of two generations, and the longest that it keeps.
+KEPT_PIECES, KEPT_CHARS = 150_000, 64
+#: Fixed value: how the vocabulary writes a space.
+SPACE_TOKEN = "Ġ"
+#: Only in texts of these characters is every word surely encoded by itself.
+PLAIN = re.compile(r"[\n\x20-\x7e¡-ɏ]*")
 
 
 @functools.lru_cache(maxsize=4)
 def load(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -31,38 +33,83 @@ def _special(path: str) -> list[str]:
         return [x["content"] for x in json.load(f).get("added_tokens", [])]
 
 
+class Kept:
+    """What pieces were encoded to: a new and an old generation, so that frequent pieces stay."""
+
+    def __init__(self, encode):
+        self.encode, self.new, self.old = encode, {}, {}
+
+    def all(self, pieces: list) -> dict:
+        """A dictionary that has every piece."""
+        new = self.new
+        missing = [p for p in pieces if p not in new]
+        if not missing:
+            return new
+        if len(new) + len(missing) > KEPT_PIECES:
+            self.old, self.new = new, {}
+            new, missing = self.new, pieces
+        missing = list(dict.fromkeys(missing))
+        old = self.old
+        for p in missing:
+            if p in old:
+                new[p] = old[p]
+        missing = [p for p in missing if p not in new]
+        long = {}
+        for at in range(0, len(missing), 20_000):
+            some = missing[at : at + 20_000]
+            for p, v in zip(some, self.encode(some)):
+                (new if len(p) <= KEPT_CHARS else long)[p] = v
+        return {**{p: new[p] for p in pieces if p in new}, **long} if long else new
+
+
 class PieceEncoder:
     """Token ids of whole texts by a byte-level tokenizer file, as little-endian bytes.
 
-    Such a tokenizer cuts a text by a pattern and encodes each piece by itself, so a piece has the
-    same ids wherever it stands. Pieces are cut here, each new one is encoded by the library, and
-    frequent ones are kept. Texts with characters whose classes may differ between pattern
-    libraries, or with one of the special strings, are given to the library whole.
+    Such a tokenizer cuts a text by a pattern and encodes each piece by itself. A piece never goes
+    on across a single space or line feed between other characters: a space starts the next piece,
+    and a line feed is one by itself. So a word has the same ids wherever it stands, with the space
+    before it or at the start of a line. Each new word is encoded by the library, and frequent ones
+    are kept. Texts with other white space, with characters whose classes may differ between
+    pattern libraries, or with one of the special strings are given to the library whole.
     """
 
     def __init__(self, path: str, dtype: str = "<u2"):
-        self.tokenizer, self.dtype, self.kept = load(path), dtype, {}
+        self.tokenizer, self.dtype = load(path), dtype
         self.special = _special(path)
-        self.cut = regex.compile(BYTE_LEVEL_PATTERN).findall
+        self.first = Kept(self._ids)
+        self.later = Kept(self._later)
+        self.feed = self._ids(["\n"])[0]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.starts[[i for t, i in vocabulary.items() if t.startswith(SPACE_TOKEN)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _later(self, words: list[str]) -> list[bytes]:
+        """The ids of words with a space before: encoded many together, cut where a token has it."""
+        out, width = [], np.dtype(self.dtype).itemsize
+        parts = [words[at : at + 256] for at in range(0, len(words), 256)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.asarray(e.ids, self.dtype)
+            at = (np.flatnonzero(self.starts[ids]) * width).tolist()
+            if len(at) != len(part):
+                raise AssertionError("a word is not one run of tokens")
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
+        return out
 
     def encode(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self._ids([text])[0]
-        pieces, kept = self.cut(text), self.kept
-        new = [p for p in set(pieces) if p not in kept]
-        own = {}
-        if new:
-            if len(kept) + len(new) > KEPT_PIECES:
-                kept.clear()
-                new = list(set(pieces))
-            for p, ids in zip(new, self._ids(new)):
-                (kept if len(p) <= KEPT_CHARS else own)[p] = ids
-        if own:
-            return b"".join([kept[p] if p in kept else own[p] for p in pieces])
-        return b"".join(map(kept.__getitem__, pieces))
+        lines = [line.split(" ") for line in text.split("\n")]
+        later = [w for line in lines for w in line[1:]]
+        first = [line[0] for line in lines]
+        if "" in later or "" in first:
+            return self._ids([text])[0]
+        of_later, of_first = self.later.all(later), self.first.all(first)
+        get = of_later.__getitem__
+        return self.feed.join([of_first[line[0]] + b"".join(map(get, line[1:])) for line in lines])
 
 
 class WordCounter:
@@ -74,25 +121,18 @@ class WordCounter:
     """
 
     def __init__(self, path: str, chunk: int, overlap: int):
-        self.tokenizer, self.chunk, self.overlap, self.kept = load(path), chunk, overlap, {}
+        self.tokenizer, self.chunk, self.overlap = load(path), chunk, overlap
+        self.kept = Kept(lambda words: [len(e.ids) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)])
 
     def counts(self, texts: list[str]) -> list[int]:
-        kept, words = self.kept, [t.encode().split() if len(t) <= self.chunk else None for t in texts]
-        new = set().union(*(w for w in words if w)) if words else set()
-        new = [w for w in new if w not in kept]
-        if len(kept) + len(new) > KEPT_PIECES:
-            kept.clear()
-            new = list(set().union(*(w for w in words if w)))
-        own = {}
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                (kept if len(w) <= KEPT_CHARS else own)[w] = len(e.ids)
-        if own:
-            of = lambda w: kept[w] if w in kept else own[w]
-        else:
-            of = kept.__getitem__
-        return [sum(map(of, w)) if w is not None else len(resync_ids(self.tokenizer, t, self.chunk, self.overlap)[0]) for t, w in zip(texts, words)]
+        out = []
+        for t in texts:
+            if len(t) > self.chunk:
+                out.append(len(resync_ids(self.tokenizer, t, self.chunk, self.overlap)[0]))
+            else:
+                words = t.encode().split()
+                out.append(sum(map(self.kept.all(words).__getitem__, words)))
+        return out
 
 
 WHITE = frozenset(" \t\n\v\f\r")
