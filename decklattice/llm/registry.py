@@ -6,15 +6,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, simhash, token_counts, token_files, toxicity
+from . import decontamination, mixing, quality, simhash, token_counts, token_files, toxicity, url_filter
 from .common import table
 
 
+#: (rule, verdict) of op1: fixed values.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("bad"))
+    labelled = pages.join(bad, pages.page_id == bad.doc_id).select("url", "bad")
+    return url_filter.judge(pages, labelled, URL_RULES)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality(docs, quality.ratio_table(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,7 +82,9 @@ FROM r
 """
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
     "op5_decontamination": op5_decontamination,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
