@@ -129,7 +129,7 @@ class Scorer:
         docs = []
         for t in texts:
             tokens = t.lower().split()
-            docs.append(tokens + spelt_out(tokens))
+            docs.append(tokens + [s for run in spelt_out(tokens) for s in spans_of_token(run)])
         self._fill(set().union(*docs))
         get = self.new.__getitem__
         return [worst(map(get, d)) for d in docs]
