@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality, simhash, token_counts, token_files, toxicity, url_filter
+from . import decontamination, mixing, pii, quality, simhash, token_counts, token_files, toxicity, url_filter
 from .common import table
 
 
+#: The key of the registered query; a real run takes its own from a secret store.
+PII_KEY = "demonstration key"
 #: (rule, verdict) of op1: fixed values.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -31,6 +33,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, quality.ratio_table(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -85,6 +92,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
