@@ -128,8 +128,12 @@ class Scorer:
     def margins(self, texts: list[str]) -> list[list[float]]:
         docs = []
         for t in texts:
-            tokens = t.lower().split()
-            docs.append(tokens + [s for run in spelt_out(tokens) for s in spans_of_token(run)])
+            t = t.lower()
+            tokens = t.split()
+            if sum(len(x) == 1 for x in tokens) > 2:
+                runs = [run for sentence in _SENTENCE.split(t) for run in spelt_out(sentence.split())]
+                tokens += [s for run in runs for s in spans_of_token(run)]
+            docs.append(tokens)
         self._fill(set().union(*docs))
         get = self.new.__getitem__
         return [worst(map(get, d)) for d in docs]
