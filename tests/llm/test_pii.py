@@ -53,7 +53,7 @@ def test_dates_stay_dates_and_distinct(spark):
     assert len(set(new)) == len(days) and all(1900 <= d.year <= 2099 for d in new[:800])
     iso, dmy, us = (t for t, _ in run(spark, ["1999-01-25", "25/01/1999", "1/25/1999"]))
     y, m, d = iso.split("-")
-    assert dmy == f"{d}/{m}/{y}" and us == f"{int(m)}/{int(d)}/{y}"
+    assert dmy == f"{d}/{m}/{y}" and us == f"{int(m)}/{d}/{y}"
     assert run(spark, ["1999-02-30 and 99/99/1999"]) == [("1999-02-30 and 99/99/1999", 0)]
 
 
