@@ -72,10 +72,14 @@ def _flat(value, path=""):
         yield path, value
 
 
-@F.pandas_udf("string")
-def flattened(content):
+def flattened(content: Column) -> Column:
     """Nested JSON objects as one with dotted keys; the depth is not known beforehand."""
-    return content.map(lambda t: None if t is None else json.dumps(dict(_flat(json.loads(t))), sort_keys=True, ensure_ascii=False))
+
+    @F.pandas_udf("string")
+    def flat(texts):
+        return texts.map(lambda t: None if t is None else json.dumps(dict(_flat(json.loads(t))), sort_keys=True, ensure_ascii=False))
+
+    return flat(content)
 
 
 def pipeline(frame, *steps):

@@ -8,14 +8,18 @@ from ..operators import decks, rates, store
 from ..operators.rates import RateSpec
 from .registry import Tables, query
 
-WON = F.col("o_orderstatus") == "F"
+
 IN_DECK = "SELECT DISTINCT l_orderkey, l_partkey, o_orderstatus = 'F' AS won, o_totalprice, o_orderpriority, o_custkey, date_part('year', o_orderdate) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 
+def won():
+    return F.col("o_orderstatus") == "F"
+
+
 def in_deck(t: Tables):
     """One row per game and card; the wide side of the join is shuffled once, by game."""
     pairs = rates.presence(t.lineitem, ["l_orderkey"], "l_partkey")
-    games = t.orders.select("o_orderkey", WON.alias("won"), "o_totalprice", "o_orderpriority", "o_custkey", "o_orderdate")
+    games = t.orders.select("o_orderkey", won().alias("won"), "o_totalprice", "o_orderpriority", "o_custkey", "o_orderdate")
     return pairs.join(games, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
@@ -48,7 +52,7 @@ def mean_per_copy(t: Tables):
 
 @query("win_rate_per_copy", "SELECT l_partkey, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0 END) AS label, count(*) AS sample_count FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def win_rate_per_copy(t: Tables):
-    return rates.mean_per_copy(copies(t), "l_partkey", WON.cast("int"))
+    return rates.mean_per_copy(copies(t), "l_partkey", won().cast("int"))
 
 
 @query("upgrade_rate", "SELECT l_partkey, avg(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0 END) AS label, count(*) AS sample_count FROM lineitem GROUP BY 1")
@@ -58,7 +62,7 @@ def upgrade_rate(t: Tables):
 
 @query("win_rate_at_act", "SELECT l_partkey, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0 END) AS label, count(*) AS sample_count FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 2 GROUP BY 1")
 def win_rate_at_act(t: Tables):
-    return rates.mean_per_copy(copies(t).where("l_linenumber <= 2"), "l_partkey", WON.cast("int"))
+    return rates.mean_per_copy(copies(t).where("l_linenumber <= 2"), "l_partkey", won().cast("int"))
 
 
 @query("share_by_class", "SELECT l_partkey, avg((l_returnflag='A')::INT::DOUBLE) AS \"A\", avg((l_returnflag='N')::INT::DOUBLE) AS \"N\", avg((l_returnflag='R')::INT::DOUBLE) AS \"R\", count(*) AS sample_count FROM lineitem GROUP BY 1")
@@ -146,7 +150,7 @@ def inclusion_by_group(t: Tables):
 @query("deck_labels_by_content", """WITH d AS (SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS cards FROM lineitem GROUP BY 1) SELECT l_orderkey, cards, o_orderstatus = 'F' AS label FROM d JOIN orders ON l_orderkey = o_orderkey""")
 def deck_labels_by_content(t: Tables):
     bags = decks.decks_of(t.lineitem, ["l_orderkey"], "l_partkey")
-    labels = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), WON.alias("label"))
+    labels = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), won().alias("label"))
     return bags.select("l_orderkey", F.array_join("cards", ",").alias("cards")).join(labels, "l_orderkey")
 
 

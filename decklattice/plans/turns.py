@@ -58,13 +58,13 @@ def deck_before_turn(t: Tables):
     return ev.deck_before(e, ["user_id"], "card", "turn", "event_id", "d")
 
 
-@query("held_at_floor", f"""WITH i AS (SELECT user_id, card, min(turn) AS floor_added, CASE WHEN count(*) > 1 THEN max(turn) END AS floor_left FROM ({TURN}) GROUP BY 1, 2), m AS (SELECT DISTINCT user_id, turn AS floor FROM ({TURN}) WHERE turn % 50 = 0)
+@query("held_at_floor", f"""WITH i AS (SELECT user_id, card, min(turn) AS floor_added, CASE WHEN count(*) > 1 THEN max(turn) END AS floor_left FROM ({TURN}) GROUP BY 1, 2), m AS (SELECT DISTINCT user_id, turn AS floor FROM ({TURN}) WHERE turn % 5 = 0)
 SELECT m.user_id, floor, card, floor_added, floor_left FROM m JOIN i ON m.user_id = i.user_id AND floor_added < floor AND (floor_left IS NULL OR floor_left >= floor)""")
 def held_at_floor(t: Tables):
     e = turns(t)
     n = F.count(F.lit(1))
     i = e.groupBy("user_id", "card").agg(F.min("turn").alias("floor_added"), F.when(n > 1, F.max("turn")).alias("floor_left"))
-    m = e.where("turn % 50 = 0").select("user_id", F.col("turn").alias("floor")).distinct()
+    m = e.where("turn % 5 = 0").select("user_id", F.col("turn").alias("floor")).distinct()
     return ev.held_at(i, m, ["user_id"])
 
 

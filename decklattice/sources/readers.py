@@ -67,7 +67,8 @@ def text_of_html(column: Column) -> Column:
     t = F.regexp_replace(t, r"<[^>]*>", "")
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         t = F.replace(t, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\s*\n\s*", "\n")
+    return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
 def data_attributes(column: Column) -> Column:
@@ -108,9 +109,14 @@ def decode_deckstring(text: str) -> list[tuple[int, int]]:
     return out
 
 
-@F.pandas_udf("array<struct<card:bigint,n:int>>")
-def deckstrings(codes):
-    return codes.map(lambda t: [{"card": c, "n": n} for c, n in decode_deckstring(t)] if t else [])
+def deckstrings(codes: Column) -> Column:
+    """Deck codes as arrays of (card, n)."""
+
+    @F.pandas_udf("array<struct<card:bigint,n:int>>")
+    def decode(texts):
+        return texts.map(lambda t: [{"card": c, "n": n} for c, n in decode_deckstring(t)] if t else [])
+
+    return decode(codes)
 
 
 _TURN = re.compile(r"-+\s*(?P<player>.+?)'s turn (?P<turn>\d+)\s*-+")
