@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass
 
@@ -12,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents of each class that a model is fitted on at most (taken by smallest hash).
-SAMPLE_PER_CLASS = 2000
-LANDMARKS, DIMS, DECAY, SPAN = 192, 1 << 18, 0.5, 5
+SAMPLE_PER_CLASS = 1000
+LANDMARKS, DIM_BITS, DECAY, SPAN = 192, 16, 0.5, 5
+DIMS = 1 << DIM_BITS
 #: Spans: longest, and the step between the pieces of a longer token.
 LONGEST, STEP = 24, 12
 ROUNDS, TOPS = 3, 3
@@ -59,7 +61,7 @@ def _codes(spans: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for j, k, w in GAPS:
         b, c = text[:, j : n + j], text[:, k : n + k]
         h = (a ^ (b * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D) ^ (c * np.uint32(0x27D4EB2F))
-        codes.append((h >> np.uint32(32 - 18)).astype(np.int32))
+        codes.append((h >> np.uint32(32 - DIM_BITS)).astype(np.int32))
         weights.append(np.where(c > 0, np.float32(w), np.float32(0)))
     return np.concatenate(codes, 1), np.concatenate(weights, 1)
 
@@ -267,8 +269,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
         drawn = some if drawn is None else drawn.union(some)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = named.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text")
-    bags = rows.mapInArrow(_sentence_spans, "toxic int, spans array<string>").collect()
-    return fit(sorted((r.toxic, list(r.spans)) for r in bags))
+    bags = rows.mapInArrow(_sentence_spans, "toxic int, spans array<string>").toLocalIterator()
+    return fit(sorted((r.toxic, list(map(sys.intern, r.spans))) for r in bags))
 
 
 _SCORERS: dict = {}
