@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, pii, quality, simhash, token_counts, token_files, toxicity, url_filter
+from . import decontamination, line_dedup, mixing, pii, quality, simhash, token_counts, token_files, toxicity, url_filter
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.document_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -97,6 +101,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
