@@ -10,7 +10,7 @@ import re
 import numpy as np
 
 #: Pieces that one process keeps in each of two generations, and the longest that it keeps.
-KEPT_PIECES, KEPT_CHARS = 150_000, 64
+KEPT_PIECES, KEPT_CHARS = 350_000, 64
 #: Fixed value: how the vocabulary writes a space.
 SPACE_TOKEN = "Ġ"
 #: Only in texts of these characters is every word surely encoded by itself.
