@@ -15,6 +15,8 @@ from .components import connected_components
 BITS = 64
 #: Fingerprints sampled for the estimates (by smallest hash: the same ones in every run).
 SAMPLE = 4096
+#: Differing bits of the fingerprints of single words within which similar texts are sought.
+WORD_BITS = 6
 #: Flipped bits that a probe may have in one group: this bounds the masks that a plan holds.
 MOST_FLIPS = 2
 #: Fingerprints of one index bucket that one block holds; larger buckets are split into blocks.
@@ -154,9 +156,12 @@ class _Forest:
         return hits[first]
 
 
-def _links(tau: int):
+def _links(tau: int, most: int | None):
     """Verify probes against the index fingerprints of their block; return a spanning set of links.
 
+    With ``most``, rows also have a second fingerprint, which must be within that many bits, and an
+    id of their own; else the fingerprint is the id.
+
     Rows come sorted by (part, key, block, is_probe). Links are verified one and all, but only those
     that connect something new are returned, so a block of n copies gives about n rows, not n * n.
     """
@@ -165,27 +170,33 @@ def _links(tau: int):
         import pyarrow as pa
 
         at, index, forest = None, None, None
-        grown: list[np.ndarray] = []
+        grown: list[tuple[np.ndarray, ...]] = []
         a_out: list[np.ndarray] = []
         b_out: list[np.ndarray] = []
 
-        def probe(fps):
+        def linked(p, i):
+            """Which pairs of probe and index rows (as broadcast) are links."""
+            near = np.bitwise_count(p[0] ^ i[0]) <= tau
+            if most is not None:
+                near &= np.bitwise_count(p[1] ^ i[1]) <= most
+            return near & (p[-1] != i[-1])
+
+        def probe(rows):
             nonlocal forest
             if forest is None:
-                forest = _Forest(len(index))
-            for begin in range(0, len(fps), 512):
-                some = fps[begin : begin + 512]
-                near = np.bitwise_count(some[:, None] ^ index[None, :]) <= tau
-                near &= some[:, None] != index[None, :]
+                forest = _Forest(len(index[0]))
+            for begin in range(0, len(rows[0]), 512):
+                some = [r[begin : begin + 512] for r in rows]
+                near = linked([r[:, None] for r in some], [r[None, :] for r in index])
                 for k in np.flatnonzero(near.any(1)):
                     hits = forest.join(np.flatnonzero(near[k]))
-                    a_out.append(np.full(len(hits), some[k]))
-                    b_out.append(index[hits])
+                    a_out.append(np.full(len(hits), some[-1][k]))
+                    b_out.append(index[-1][hits])
 
         for batch in batches:
-            part, key, block, is_probe, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            fp = fp.view(np.uint64)
-            n = len(fp)
+            part, key, block, is_probe, *rows = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            rows = [r.view(np.uint64) for r in rows]
+            n = len(part)
             if not n:
                 continue
             new = np.ones(n, bool)
@@ -199,22 +210,22 @@ def _links(tau: int):
             small = (n_probe == 1) & (sizes == 2)
             small[[0, last]] = False
             one = bounds[:-1][small]
-            i, p = fp[one], fp[one + 1]
-            ok = (np.bitwise_count(i ^ p) <= tau) & (i != p)
+            i, p = [r[one] for r in rows], [r[one + 1] for r in rows]
+            ok = linked(p, i)
             if ok.any():
-                a_out.append(p[ok])
-                b_out.append(i[ok])
+                a_out.append(p[-1][ok])
+                b_out.append(i[-1][ok])
             for s in np.flatnonzero(~small & ((n_probe > 0) & (n_probe < sizes) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == last))):
                 lo, hi = bounds[s], bounds[s + 1]
                 if new[lo]:
                     grown, index, forest, at = [], None, None, (part[lo], key[lo], block[lo])
                 cut_at = lo + int((~is_probe[lo:hi]).sum())
                 if cut_at > lo:
-                    grown.append(fp[lo:cut_at])
+                    grown.append(tuple(r[lo:cut_at] for r in rows))
                 if hi > cut_at and grown:
                     if index is None:
-                        index = np.concatenate(grown)
-                    probe(fp[cut_at:hi])
+                        index = [np.concatenate(x) for x in zip(*grown)]
+                    probe([r[cut_at:hi] for r in rows])
             if a_out:
                 a, b = np.concatenate(a_out), np.concatenate(b_out)
                 a_out.clear()
@@ -224,35 +235,37 @@ def _links(tau: int):
     return run
 
 
-def links(fps: DataFrame, tau: int = 4) -> DataFrame:
+def links(fps: DataFrame, tau: int = 4, most: int | None = None) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints ``fp`` within ``tau`` bits of each other.
 
-    Every pair within ``tau`` bits is found, and is joined by the returned links, directly or by
+    With ``most``, ``fps`` has (fp, fine, node): a link also needs ``fine`` within ``most`` bits, and
+    is one of nodes. Every pair within ``tau`` bits is found, and is joined by the returned links, directly or by
     way of others. An index bucket of more than ``BLOCK`` fingerprints is split by hash into blocks
     in different tasks, and its probes go to each block.
     """
     n = fps.count()
-    sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    sample = np.array([r.fp for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     parts = plan(sample, n, tau)
     entry = lambda k, mask: F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key"))
-    index = fps.select("fp", F.inline(F.array(*[entry(k, m) for k, (m, _) in enumerate(parts)])))
+    own_columns = ["fp"] if most is None else ["fp", "fine", "node"]
+    index = fps.select(*own_columns, F.inline(F.array(*[entry(k, m) for k, (m, _) in enumerate(parts)])))
     hot = index.groupBy("part", "key").count().where(F.col("count") > BLOCK).select("part", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     hot = materialise(hot, "hot")
     probes = None
     for k, (mask, flips) in enumerate(parts):
-        own = fps.select("fp", F.lit(k).alias("part"), F.explode(F.array(*[F.lit(_signed(f)) for f in flips])).alias("flip"))
-        own = own.select("fp", "part", F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.col("flip")).alias("key"))
+        own = fps.select(*own_columns, F.lit(k).alias("part"), F.explode(F.array(*[F.lit(_signed(f)) for f in flips])).alias("flip"))
+        own = own.select(*own_columns, "part", F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.col("flip")).alias("key"))
         probes = own if probes is None else probes.union(own)
     if hot.isEmpty():
         index, probes = (f.withColumn("block", F.lit(0)) for f in (index, probes))
     else:
-        index = index.join(hot, ["part", "key"], "left").withColumn("block", F.pmod(F.xxhash64("fp", F.lit("b")), F.coalesce("blocks", F.lit(1)).cast("long")).cast("int"))
+        index = index.join(hot, ["part", "key"], "left").withColumn("block", F.pmod(F.xxhash64(own_columns[-1], F.lit("b")), F.coalesce("blocks", F.lit(1)).cast("long")).cast("int"))
         probes = probes.join(hot, ["part", "key"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-    columns = ["part", "key", "block", "is_probe", "fp"]
+    columns = ["part", "key", "block", "is_probe", *own_columns]
     rows = index.withColumn("is_probe", F.lit(False)).select(columns).union(probes.withColumn("is_probe", F.lit(True)).select(columns))
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = rows.repartition(tasks, "part", "key", "block").sortWithinPartitions("part", "key", "block", "is_probe")
-    return laid.mapInArrow(_links(tau), "a bigint, b bigint")
+    return laid.mapInArrow(_links(tau, most), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, tau: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,13 +287,48 @@ def near_duplicates(docs: DataFrame, tau: int = 4, words: int = 4, id_col: str =
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, tau: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id.
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, tau: int = WORD_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of every row: near-duplicates by the similarity of their word shingles.
+
+    SimHash estimates the cosine similarity of two texts' shingles as cos(pi * d / 64) from the d
+    bits in which their fingerprints differ; texts link where that is ``similarity`` or more (13
+    bits or fewer at 0.8). So wide a radius cannot be searched by pigeonholes, but texts that share
+    most shingles share nearly all words: the search runs over the fingerprints of single words,
+    within ``tau`` bits, and the shingles' fingerprint decides. Nulls, empty texts, repeated rows
+    and empty tables are as in ``near_duplicates``; texts without a shingle link with each other.
+    """
+    most = int(np.floor(np.arccos(similarity) / np.pi * BITS))
+    fps = materialise(_two_fingerprints(docs, words, id_col, text_col), "fingerprints")
+    nodes = fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("fine").alias("fine"))
+    nodes = materialise(nodes, "nodes")
+    root = connected_components(links(nodes.select("fp", "fine", "node"), tau, most))
+    named = nodes.select("node", "least").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def _two_fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fp of single words, fine: fp of shingles, node: a hash of both)."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            two = np.array([(_fingerprint(t, 1), _fingerprint(t, words)) for t in ((x.as_py() or "") for x in b.column(1))], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(two[:, 0]), pa.array(two[:, 1])], ["doc_id", "fp", "fine"])
+
+    out = slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp bigint, fine bigint")
+    return out.withColumn("node", F.xxhash64("fp", "fine"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of ``similar_documents``: that of the smallest id.
 
     Rows that share this id with others of the component are settled by the hash of their text;
     rows without an id are all of their own and stay.
     """
-    found = near_duplicates(docs, tau, words, id_col, text_col).where("doc_id = component_id").select("doc_id").distinct()
+    found = similar_documents(docs, words, similarity, WORD_BITS, id_col, text_col).where("doc_id = component_id").select("doc_id").distinct()
     firsts = found.withColumnRenamed("doc_id", "__near_id")
     own = docs.columns
     from pyspark.sql import Window

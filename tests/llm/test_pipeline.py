@@ -27,7 +27,7 @@ def test_stages_do_what_their_operators_say(spark, stages):
     model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     of = lambda f: sorted(r.doc_id for r in f.select("doc_id").collect())
     assert of(clean) == of(toxicity.score(docs, model).where("predicted = 0"))
-    groups = simhash.near_duplicates(clean, words=5)
+    groups = simhash.similar_documents(clean)
     assert of(single) == sorted({r.component_id for r in groups.collect()})
     assert of(fresh) == of(decontamination.contamination(single, spark.read.parquet(f"{SF}/benchmark.parquet")).where("not contaminated"))
     copies = {r.doc_id: r.copies for r in mixing.with_copies(fresh).collect() if r.copies}
