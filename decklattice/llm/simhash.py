@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 from .components import connected_components
+from .shingles import shingle_components
 
 BITS = 64
 #: Fingerprints sampled for the estimates (by smallest hash: the same ones in every run).
@@ -323,12 +324,12 @@ def _two_fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component of ``similar_documents``: that of the smallest id.
+    """``docs`` with one row of each component of ``shingle_components``: that of the smallest id.
 
     Rows that share this id with others of the component are settled by the hash of their text;
     rows without an id are all of their own and stay.
     """
-    found = similar_documents(docs, words, similarity, WORD_BITS, id_col, text_col).where("doc_id = component_id").select("doc_id").distinct()
+    found = shingle_components(docs, words, similarity, id_col, text_col).where("doc_id = component_id").select("doc_id").distinct()
     firsts = found.withColumnRenamed("doc_id", "__near_id")
     own = docs.columns
     from pyspark.sql import Window
