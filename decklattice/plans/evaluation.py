@@ -52,7 +52,7 @@ def centroid_accuracy(t: Tables):
 
 @query("effective_rank")
 def effective_rank(t: Tables):
-    return sim.effective_rank(t.embeddings, "embedding", 16)
+    return sim.effective_rank(t.embeddings, "embedding")
 
 
 @query("unit_length", "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, 1.0::DOUBLE AS scaled FROM embeddings")
