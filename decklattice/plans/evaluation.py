@@ -30,7 +30,7 @@ def nearest_neighbours(t: Tables):
 
 @query("retrieval_auc", """SELECT event_type, CAST(sum(CASE WHEN p.value > n.value THEN 1.0 WHEN p.value = n.value THEN 0.5 ELSE 0 END) AS DOUBLE) / count(*) AS auc FROM (SELECT event_type, value FROM events WHERE user_id % 2 = 0 AND event_id < 2000) p JOIN (SELECT event_type, value FROM events WHERE user_id % 2 = 1 AND event_id < 2000) n USING (event_type) GROUP BY 1""")
 def retrieval_auc(t: Tables):
-    return sim.auc(t.events.where("event_id < 2000"), ["event_type"], "value", F.col("user_id") % 2 == 0).select("event_type", "auc")
+    return sim.auc(t.events, ["event_type"], "value", F.col("user_id") % 2 == 0).select("event_type", "auc")
 
 
 @query("cluster_agreement")

@@ -49,3 +49,13 @@ def test_held_at_every_floor_equals_brute_force(spark, changes):
         want += [(user, m, card, added, left) for m in moments[user] if added < m and (left is None or left >= m)]
     got = registry.QUERIES["held_at_floor"](spark, SF).select("user_id", "floor", "card", "floor_added", "floor_left").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_retrieval_auc_over_every_event_equals_brute_force(spark):
+    got = {r.event_type: r.auc for r in registry.QUERIES["retrieval_auc"](spark, "/root/testdata/sf0.01").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.01/events.parquet").collect()
+    assert max(r.event_id for r in rows) >= 2000
+    for kind in {r.event_type for r in rows}:
+        p, n = (np.array([r.value for r in rows if r.event_type == kind and r.user_id % 2 == odd]) for odd in (0, 1))
+        wins = (p[:, None] > n).sum() + (p[:, None] == n).sum() / 2
+        assert got[kind] == pytest.approx(wins / (len(p) * len(n)), rel=1e-9)
