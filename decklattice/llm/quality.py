@@ -13,8 +13,6 @@ from .common import NOT_SPACE_RX, words_of
 BUCKETS = 4096
 #: A text is kept at this mean log-likelihood ratio per n-gram or more.
 THRESHOLD = -0.015
-#: Trusted documents that the target is counted over at most.
-SAMPLE = 20_000
 SYMBOLS_RX = r"[^#*$%&|<>]+"
 
 
@@ -65,17 +63,16 @@ def _ngrams(h: str) -> Column:
     return F.concat(F.transform(h, _bucket), F.transform(F.slice(F.col(h), 1, F.greatest(F.size(h) - 1, F.lit(0))), pair))
 
 
-def ratio_table(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
+def ratio_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """log(p_target / p_raw) of each bucket: target are texts of quality 1, raw are all texts.
 
-    The raw counts cover every document; the target is a sample of at most ``sample`` documents
-    that are labelled 1 and never 0, by smallest hash, whose ids are broadcast. Only the BUCKETS
-    sums come to the driver. Add-one smoothing; without trusted texts every ratio is 0.
+    The raw counts cover every document, the target every one that is labelled 1 and never 0. Only
+    the BUCKETS sums come to the driver. Add-one smoothing; without trusted texts every ratio is 0.
     """
     trusted = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    trusted = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.lit(1).alias("target"))
+    trusted = trusted.select("doc_id", F.lit(1).alias("target"))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    flagged = slim.join(F.broadcast(trusted), "doc_id", "left")
+    flagged = slim.join(trusted, "doc_id", "left")
     h = flagged.select("target", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
     sums = h.select("target", F.explode(_ngrams("h")).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("target").alias("target"))
     target, raw = [1] * BUCKETS, [1] * BUCKETS

@@ -70,3 +70,8 @@ def test_no_python_in_the_plan(spark):
     frame = q.quality(spark.createDataFrame([(1, "a b", "x")], SCHEMA), [0.0] * q.BUCKETS)
     assert "Python" not in (plan := frame._jdf.queryExecution().toString()) and "Arrow" not in plan
     assert pytest.approx(0.0) == frame.collect()[0].score
+
+
+def test_every_trusted_text_counts(spark):
+    docs = spark.range(20_400).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    assert set(q.ratio_table(docs, docs.selectExpr("doc_id", "1 AS quality"))) == {0.0}
