@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: A rule needs this share of the labelled pages, this confidence and this lift.
 SUPPORT, CONFIDENCE, LIFT = 0.01, 0.6, 1.5
-#: Labelled pages that rules are mined from at most (taken by smallest hash).
-SAMPLE = 500_000
 BAD = "\x00bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,17 +39,17 @@ def fixed_rules(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return pages.withColumns({"rule": rule, "rule_verdict": verdict})
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, sample: int = SAMPLE) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
     """Rules (rule_id, items, confidence, support) from (url, bad): token sets that point to bad pages.
 
-    FP-growth finds the frequent sets of URL tokens together with the label; rules that conclude
+    All labelled pages count. FP-growth finds the frequent sets of URL tokens together with the label; rules that conclude
     the label are kept if confident and well above the base rate, and dropped if a rule with fewer
     tokens is as confident.
     """
     from pyspark.ml.fpm import FPGrowth
 
     rows = labelled.where(F.col("bad").isNotNull()).select(F.concat(tokens_of(F.col("url")), F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array())).alias("items"))
-    rows = rows.where(F.size("items") > 0).orderBy(F.xxhash64("items")).limit(sample)
+    rows = rows.where(F.size("items") > 0)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
     found = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= lift))
     found = found.select(F.array_sort("antecedent").alias("items"), "confidence", "support")

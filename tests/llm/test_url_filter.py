@@ -53,3 +53,9 @@ def test_mined_rules_equal_brute_force(spark):
     got = {r.key: r.confidence for r in u.match(pages, spark.createDataFrame(rules)).collect()}
     want = {k: max(c) for k, x in enumerate(urls(100)) if (c := [r.confidence for r in rules if set(r["items"]) <= split(x or "")])}
     assert got == want
+
+
+def test_every_labelled_page_counts(spark):
+    pages = spark.range(520_000).selectExpr("if(id < 40000, 'casino', 'blog') AS url", "int(id < 26000) AS bad")
+    (rule,) = u.mine(pages).collect()
+    assert (rule["items"], round(rule.confidence, 9), round(rule.support, 9)) == (["casino"], 0.65, 0.05)
