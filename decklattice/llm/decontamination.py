@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Words of a seed; seeds are the rarest in each window of so many neighbours.
 SEED_WORDS, WINDOW = 3, 6
-#: Items of fewer words are too common to be leaks and are left out.
+#: Items of fewer words count only where a text has them whole, word for word.
 LEAST_WORDS = 8
 #: Benchmark text, in characters, that is broadcast at a time; a larger benchmark goes in blocks.
 BLOCK_CHARS = 16_000_000
@@ -55,7 +55,7 @@ def _block(rows: list[tuple[int, str]]) -> Block:
     ids, items = [], []
     for item_id, text in rows:
         words = _WORDS(text.lower())
-        if len(words) < LEAST_WORDS:
+        if len(words) < SEED_WORDS:
             continue
         ids.append(item_id)
         items.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int64))
@@ -177,7 +177,7 @@ class Judge:
                         if len(self.kept) >= KEPT_SCORES:
                             self.kept.clear()
                         self.kept[key] = align(item, part) / len(item)
-                    if self.kept[key] > top[0]:
+                    if self.kept[key] > top[0] and (len(item) >= LEAST_WORDS or self.kept[key] == 1):
                         top = (self.kept[key], self.block.ids[i])
         return top[0], top[1], len(pairs)
 
@@ -228,6 +228,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     Texts with a seed are aligned with its item around it. ``score`` is the best Smith-Waterman
     score as a share of the item's length (1: the whole item, word for word); a document is
     contaminated at ``threshold`` or more, so also by an edited copy or the larger part of an item.
+    An item of fewer than LEAST_WORDS words counts only where it stands whole, word for word; one of
+    fewer than SEED_WORDS words has no seed and is not searched.
 
     The benchmark is broadcast in blocks of bounded size. Null and empty texts score 0 with a null
     item; of equal scores the smallest item id counts; repeated rows score alike; an empty table

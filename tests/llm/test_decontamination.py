@@ -74,3 +74,13 @@ def test_empty_tables(spark):
     assert d.contamination(spark.createDataFrame([], SCHEMA), bench).count() == 0
     out = d.contamination(spark.createDataFrame(docs[:5], SCHEMA), bench.limit(0)).collect()
     assert len(out) == 5 and all(r.score == 0 and r.item_id is None for r in out)
+
+
+def test_short_items_count_word_for_word(spark):
+    from decklattice.llm import decontamination
+
+    benchmark = spark.createDataFrame([(1, "Seven red foxes, at dawn")], "item_id long, text string")
+    texts = ["we saw seven red foxes at dawn again", "we saw seven red foxes at noon", "seven red foxes", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.score) for r in decontamination.contamination(docs, benchmark).collect()}
+    assert got == {0: (True, 1.0), 1: (False, 0.0), 2: (False, 0.0), 3: (False, 0.0)}
