@@ -9,7 +9,7 @@ import pytest
 
 from decklattice.plans import evaluation, registry, turns  # noqa: F401
 
-SF = "/root/testdata/sf0.001"
+SF, WIDE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def test_effective_rank_equals_svd(spark):
@@ -25,7 +25,7 @@ def test_effective_rank_equals_svd(spark):
 def changes(spark):
     """(user, card, turn, event, type) of every event, in order."""
     card = lambda p: int(k) if p and (k := json.loads(p).get("k")) is not None else None
-    rows = spark.read.parquet(f"{SF}/events.parquet").collect()
+    rows = spark.read.parquet(f"{WIDE}/events.parquet").collect()
     return sorted(((r.user_id, card(r.props), r.event_id // 100, r.event_id, r.event_type) for r in rows), key=lambda x: x[3])
 
 
@@ -34,7 +34,7 @@ def test_deck_before_every_turn_equals_brute_force(spark, changes):
     for user, card, turn, _, kind in changes:
         held[user, card] = max(0, held.get((user, card), 0) + (-1 if kind == "error" else 1))
         want[user, card, turn] = held[user, card]
-    got = registry.QUERIES["deck_before_turn"](spark, SF).collect()
+    got = registry.QUERIES["deck_before_turn"](spark, WIDE).collect()
     assert {(r.user_id, r.card, r.turn): r.held_after for r in got} == want and len(got) == len(want)
 
 
@@ -47,7 +47,7 @@ def test_held_at_every_floor_equals_brute_force(spark, changes):
     for (user, card), at in seen.items():
         added, left = min(at), max(at) if len(at) > 1 else None
         want += [(user, m, card, added, left) for m in moments[user] if added < m and (left is None or left >= m)]
-    got = registry.QUERIES["held_at_floor"](spark, SF).select("user_id", "floor", "card", "floor_added", "floor_left").collect()
+    got = registry.QUERIES["held_at_floor"](spark, WIDE).select("user_id", "floor", "card", "floor_added", "floor_left").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
