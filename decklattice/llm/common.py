@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 #: What separates words: the six ASCII white-space characters, nothing else.
 SPACE_RX = r"[\x20\x09-\x0D]+"
 NOT_SPACE_RX = r"[^\x20\x09-\x0D]+"
+#: Spark's setting by which an action removes its shuffle files.
+CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
 
 
 def words_of(text: Column) -> Column:
@@ -21,14 +25,18 @@ def words_of(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a local folder set.
+    Where the session names none, a local session (one machine, as in tests) gets a temporary
+    folder; any other one is an error, as executors would write where nobody else can read.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        named = spark.sparkContext.getCheckpointDir()
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        named = context.getCheckpointDir()
+    elif not context.getCheckpointDir():
+        context.setCheckpointDir(named)
     return named
 
 
@@ -43,11 +51,33 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def materialise(frame: DataFrame, kind: str) -> DataFrame:
-    """Write the frame as Parquet below the shared folder and read it again."""
-    path = fresh_path(frame.sparkSession, kind)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Actions in this context remove their shuffle files when they end: the result is written."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def materialise(frame: DataFrame, kind: str, codec: str = "snappy") -> DataFrame:
+    """Write the frame as Parquet below the shared folder and read it again; see ``discard``."""
+    spark = frame.sparkSession
+    path = fresh_path(spark, kind)
+    with shuffles_removed(spark):
+        frame.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for these frames; nothing may read them any more."""
+    for f in frames:
+        path = f.sparkSession._jvm.org.apache.hadoop.fs.Path(f.scratch_path)
+        path.getFileSystem(f.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
