@@ -18,9 +18,7 @@ URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/"
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    bad = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("bad"))
-    labelled = pages.join(bad, pages.page_id == bad.doc_id).select("url", "bad")
-    return url_filter.judge(pages, labelled, URL_RULES)
+    return url_filter.judge(pages, url_filter.labelled_by_rules(pages, URL_RULES), URL_RULES)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,40 @@ def test_every_labelled_page_counts(spark):
     pages = spark.range(520_000).selectExpr("if(id < 40000, 'casino', 'blog') AS url", "int(id < 26000) AS bad")
     (rule,) = u.mine(pages).collect()
     assert (rule["items"], round(rule.confidence, 9), round(rule.support, 9)) == (["casino"], 0.65, 0.05)
+
+
+def test_mined_rules_decide_on_the_given_pages(spark):
+    """The whole table: labels by the fixed rules, mined rules by brute force over all sets of tokens."""
+    from itertools import combinations
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    got = u.judge(pages, u.labelled_by_rules(pages, URL_RULES), URL_RULES).collect()
+    split = lambda x: frozenset(t for t in re.split(r"[^\w-]+|_", x.lower()) if t)
+    rows = [(r.page_id, split(r.url or ""), *brute_rule(r.url)) for r in pages.collect()]
+    known = [(s, v == "block") for _, s, _, _, _, v in rows if s]
+    base, least = sum(b for _, b in known) / len(known), u.SUPPORT * len(known) - 1e-9
+    seen, level, rules = {}, {frozenset()}, {}
+    while level:  # level by level: every set whose bad pages are enough
+        level = {s | {t} for s in level for t in {t for x, b in known if b and s <= x for t in x} - s} if len(next(iter(level))) < 4 else set()
+        level = {s for s in level if sum(b for x, b in known if s <= x) >= least}
+        for s in level:
+            own = [b for x, b in known if s <= x]
+            seen[s] = sum(own) / len(own)
+    for s, c in seen.items():
+        if c >= max(u.CONFIDENCE, u.LIFT * base) - 1e-9 and not any(seen[frozenset(p)] >= c - 1e-12 for k in range(1, len(s)) for p in combinations(s, k)):
+            rules[s] = c
+    assert rules and max(map(len, rules)) < 4
+    want = {i: (rule, v or ("block" if any(s <= x for s in rules) else "allow")) for i, x, _, _, rule, v in rows}
+    assert {r.page_id: (r.rule, r.verdict) for r in got} == want
+    by_method = [r for r in got if r.rule is None and r.mined_rule is not None]
+    assert len(by_method) > 50 and all(frozenset(r.mined_rule.split()) in rules and abs(rules[frozenset(r.mined_rule.split())] - r.confidence) < 1e-9 for r in got if r.mined_rule)
+
+
+def test_many_rules_are_joined_in_parts(spark, monkeypatch):
+    rules = spark.createDataFrame([(1, ["a"], 0.9, 0.1), (2, ["a", "b"], 0.9, 0.1), (3, ["c"], 0.95, 0.1)], "rule_id long, items array<string>, confidence double, support double")
+    pages = spark.createDataFrame([(k, t) for k, t in enumerate([["a"], ["a", "b"], ["b"], ["a", "c"], []])], "key long, tokens array<string>")
+    whole = sorted(map(tuple, u.match(pages, rules).collect()))
+    assert whole == [(0, "a", 0.9), (1, "a b", 0.9), (3, "c", 0.95)]
+    monkeypatch.setattr(u, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, u.match(pages, rules).collect())) == whole
+    assert u.match(pages, rules.limit(0)).count() == 0
