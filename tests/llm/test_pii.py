@@ -51,12 +51,72 @@ def test_dates_stay_dates_and_distinct(spark):
     out = run(spark, [d.isoformat() for d in days])
     new = [datetime.date.fromisoformat(t) for t, _ in out]
     assert len(set(new)) == len(days) and all(1900 <= d.year <= 2099 for d in new[:800])
+    assert all((a.day > 12) == (b.day > 12) and (a.year - 100) // 200 == (b.year - 100) // 200 for a, b in zip(days, new))
     iso, dmy, us = (t for t, _ in run(spark, ["1999-01-25", "25/01/1999", "1/25/1999"]))
     y, m, d = iso.split("-")
     assert dmy == f"{d}/{m}/{y}" and us == f"{int(m)}/{d}/{y}"
     assert run(spark, ["1999-02-30 and 99/99/1999"]) == [("1999-02-30 and 99/99/1999", 0)]
 
 
+def test_dates_of_mixed_order_are_one_to_one(spark):
+    days = [datetime.date(1990, 1, 1) + datetime.timedelta(k) for k in range(0, 9000, 2)]
+    texts = [d.strftime("%d/%m/%Y") for d in days] + [d.strftime("%m/%d/%Y") for d in days if d.day > 12]
+    out = [t for t, _ in run(spark, texts)]
+    assert len(set(out)) == len(texts)
+    of = dict(zip(texts, out))
+    for d in days:
+        if d.day > 12:  # the same day in both orders, and each is only readable in its own
+            day, month, year = of[d.strftime("%d/%m/%Y")].split("/")
+            assert of[d.strftime("%m/%d/%Y")] == f"{month}/{day}/{year}" and int(day) > 12
+    edges = ["0001-01-01", "0050-12-31", "9999-12-31", "9900-02-28", "2000-02-29"]
+    assert all(datetime.date.fromisoformat(t) and t != e and n == 1 for e, (t, n) in zip(edges, run(spark, edges)))
+
+
+def test_every_date_of_two_centuries_once(spark):
+    rows = spark.range(73_049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where("year(d) < 1912 or year(d) = 2096")
+    out = rows.select(pii.date_permuted(F.col("d"), "k").alias("n"))
+    assert rows.count() == out.distinct().count() and out.where("n < '1900-01-01' or n > '2099-12-31' or n is null").count() == 0
+
+
+def test_names_are_one_to_one(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    two = [a + b + "@x.org" for a in letters for b in letters]
+    out = [t for t, _ in run(spark, two)]
+    assert sorted(out) == sorted(two)
+    assert len({t for t, _ in run(spark, [a + "@x.org" for a in letters])}) == 26
+    (plain, caps, other) = (t for t, _ in run(spark, ["john.doe7@x.org", "John.DOE7@x.org", "john.doe7@y.org"]))
+    assert caps.lower() == plain and re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z]{3}\d@x\.org", caps) and other.split("@")[0] != plain.split("@")[0]
+    long = ["q" * k + "@x.org" for k in (50, 60, 120)] + ["._%@x.org"]
+    out = [t for t, _ in run(spark, long)]
+    assert [len(t) for t in out] == [len(t) for t in long] and out[3] == long[3]
+    assert all(len(set(t.split("@")[0])) > 10 for t in out[:3])  # no key stream repeats
+
+
+def test_arrays_and_long_numbers_are_permuted(spark):
+    rows = spark.range(1000).select(F.array(*[F.substring(F.lpad(F.col("id").cast("string"), 3, "0"), k, 1).cast("int") for k in (1, 2, 3)]).alias("v"))
+    out = rows.select(pii.places_permuted(F.col("v"), F.array(*[F.lit(10)] * 3), "k", F.lit("t")).alias("y")).collect()
+    assert len({tuple(r.y) for r in out}) == 1000 and all(0 <= x < 10 for r in out for x in r.y)
+    many = spark.range(300).select(pii.long_digits_permuted(F.concat(F.lit("7" * 20), F.lpad(F.col("id").cast("string"), 3, "0")), "k", "t").alias("y")).collect()
+    assert len({r.y for r in many}) == 300 and all(re.fullmatch(r"\d{23}", r.y) for r in many)
+    assert len({r.y[:10] for r in many}) == 300  # the last digits move the first ones
+
+
+def test_numbers_that_fail_the_check_digit_still_do(spark):
+    rng = random.Random(2)
+    good = [with_check("".join(rng.choice("0123456789") for _ in range(15))) for _ in range(60)]
+    bad = [c[:-1] + str((int(c[-1]) + 3) % 10) for c in good]
+    out = [t for t, _ in run(spark, good + bad)]
+    assert [luhn(t) for t in out] == [True] * 60 + [False] * 60 and len(set(out)) == 120
+
+
+def test_long_runs_take_linear_time(spark):
+    import time
+
+    begun = time.time()
+    ((text, n),) = run(spark, ["%" * 1_000_000 + " a@b.org " + "+" * 300_000 + "a@" * 100_000])
+    assert n >= 1 and text.startswith("%%%") and time.time() - begun < 60
+
+
 def test_other_kinds(spark):
     texts = ["+1 (136) 555-7479", "415-555-1234", "123-45-6789", "10.0.0.255", "GB82 WEST 1234 5698 7654 32", "a.b-9@x.org"]
     shapes = [r"\+\d \(\d{3}\) \d{3}-\d{4}", r"\d{3}-\d{3}-\d{4}", r"\d{3}-\d{2}-\d{4}", r"\d+(\.\d+){3}", r"GB\d\d WEST( \d{4}){3} \d\d", r"[a-z]\.[a-z]-\d@x\.org"]
