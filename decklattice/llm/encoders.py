@@ -10,7 +10,9 @@ import re
 import numpy as np
 
 #: Pieces that one process keeps in each of two generations, and the longest that it keeps.
-KEPT_PIECES, KEPT_CHARS = 350_000, 64
+KEPT_PIECES, KEPT_CHARS = 700_000, 64
+#: Characters of the texts whose words are looked up together.
+BATCH_CHARS = 8_000_000
 #: Fixed value: how the vocabulary writes a space.
 SPACE_TOKEN = "Ġ"
 #: Only in texts of these characters is every word surely encoded by itself.
@@ -39,27 +41,24 @@ class Kept:
     def __init__(self, encode):
         self.encode, self.new, self.old = encode, {}, {}
 
-    def all(self, pieces: list) -> dict:
-        """A dictionary that has every piece."""
-        new = self.new
-        missing = [p for p in pieces if p not in new]
+    def all(self, pieces: list) -> list:
+        """What each of the different pieces is encoded to."""
+        out = list(map(self.new.get, pieces))
+        missing = [k for k, v in enumerate(out) if v is None]
         if not missing:
-            return new
-        if len(new) + len(missing) > KEPT_PIECES:
-            self.old, self.new = new, {}
-            new, missing = self.new, pieces
-        missing = list(dict.fromkeys(missing))
-        old = self.old
-        for p in missing:
-            if p in old:
-                new[p] = old[p]
-        missing = [p for p in missing if p not in new]
-        long = {}
+            return out
+        if len(self.new) + len(missing) > KEPT_PIECES:
+            self.old, self.new = self.new, {}
+        again = list(map(self.old.get, [pieces[k] for k in missing])) if self.old else [None] * len(missing)
+        found = [(k, v) for k, v in zip(missing, again) if v is not None]
+        missing = [k for k, v in zip(missing, again) if v is None]
         for at in range(0, len(missing), 20_000):
             some = missing[at : at + 20_000]
-            for p, v in zip(some, self.encode(some)):
-                (new if len(p) <= KEPT_CHARS else long)[p] = v
-        return {**{p: new[p] for p in pieces if p in new}, **long} if long else new
+            found += zip(some, self.encode([pieces[k] for k in some]))
+        for k, v in found:
+            out[k] = v
+        self.new.update((pieces[k], v) for k, v in found if len(pieces[k]) <= KEPT_CHARS)
+        return out
 
 
 class PieceEncoder:
@@ -75,9 +74,9 @@ class PieceEncoder:
 
     def __init__(self, path: str, dtype: str = "<u2"):
         self.tokenizer, self.dtype = load(path), dtype
-        self.special = _special(path)
-        self.first = Kept(self._ids)
-        self.later = Kept(self._later)
+        special = _special(path)
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.kept = Kept(self._words)
         self.feed = self._ids(["\n"])[0]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -86,30 +85,84 @@ class PieceEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words: with a line feed before where they have one, else with a space."""
+        first = [w for w in words if w[:1] == "\n"]
+        out = dict(zip(first, (self.feed + ids for ids in self._ids([w[1:] for w in first]))))
+        out[""] = b""
+        later = [w for w in words if w and w[0] != "\n"]
+        out.update(zip(later, self._later(later)))
+        return [out[w] for w in words]
+
     def _later(self, words: list[str]) -> list[bytes]:
-        """The ids of words with a space before: encoded many together, cut where a token has it."""
+        """The ids of words with a space before: encoded many together, cut where a token has it.
+
+        Where the tokens of some words cannot be told apart, these are encoded one by one.
+        """
         out, width = [], np.dtype(self.dtype).itemsize
         parts = [words[at : at + 256] for at in range(0, len(words), 256)]
         for part, e in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)):
             ids = np.asarray(e.ids, self.dtype)
             at = (np.flatnonzero(self.starts[ids]) * width).tolist()
-            if len(at) != len(part):
-                raise AssertionError("a word is not one run of tokens")
+            if len(at) != len(part) or at[0]:
+                out += self._ids([" " + w for w in part])
+                continue
             raw = ids.tobytes()
             out += [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
         return out
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, by about BATCH_CHARS characters at a time."""
+        out: list[bytes] = []
+        part, size = [], 0
+        for text in texts:
+            part.append(text)
+            size += len(text)
+            if size >= BATCH_CHARS:
+                out += self._encode_part(part)
+                part, size = [], 0
+        return out + self._encode_part(part) if part else out
+
+    def _encode_part(self, texts: list[str]) -> list[bytes]:
+        """Different words are looked up once for all texts; their ids are then gathered in order."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        plain = [k for k, t in enumerate(texts) if PLAIN.fullmatch(t) and not (self.special and self.special.search(t))]
+        # a word has its line feed with it, and each text one before it that is taken off again
+        lists = pc.split_pattern(pc.replace_substring(pa.array(["\n" + texts[k] for k in plain], pa.large_string()), "\n", " \n"), " ")
+        coded = lists.values.dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        bounds = lists.offsets.to_numpy()
+        odd = np.zeros(len(words) + 1, bool)
+        for w in ("", "\n"):  # white space next to white space; every text begins with one empty piece
+            if w in words:
+                odd[words.index(w)] = True
+        inner = odd[at]
+        inner[bounds[:-1]] = False
+        hard = np.add.reduceat(np.append(inner, False), bounds[:-1]) > 0 if len(plain) else np.zeros(0, bool)
+        ids = self.kept.all(words)
+        width = np.dtype(self.dtype).itemsize
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        start = np.cumsum(size) - size
+        flat, n = np.frombuffer(b"".join(ids), self.dtype), size[at]
+        ends = np.cumsum(n)
+        raw = flat[np.repeat(start[at] - (ends - n), n) + np.arange(int(n.sum()))].tobytes()
+        ends = np.append(0, ends)[bounds] * width
+        out: list[bytes] = [b""] * len(texts)
+        whole = set(range(len(texts))) - set(plain)
+        for k, bad, a, b in zip(plain, hard.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+            if bad:
+                whole.add(k)
+            else:
+                out[k] = raw[a + len(self.feed) : b]
+        whole = sorted(whole)
+        for k, own in zip(whole, self._ids([texts[k] for k in whole])):
+            out[k] = own
+        return out
+
     def encode(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self._ids([text])[0]
-        lines = [line.split(" ") for line in text.split("\n")]
-        later = [w for line in lines for w in line[1:]]
-        first = [line[0] for line in lines]
-        if "" in later or "" in first:
-            return self._ids([text])[0]
-        of_later, of_first = self.later.all(later), self.first.all(first)
-        get = of_later.__getitem__
-        return self.feed.join([of_first[line[0]] + b"".join(map(get, line[1:])) for line in lines])
+        return self.encode_all([text])[0]
 
 
 class WordCounter:
@@ -125,14 +178,10 @@ class WordCounter:
         self.kept = Kept(lambda words: [len(e.ids) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)])
 
     def counts(self, texts: list[str]) -> list[int]:
-        out = []
-        for t in texts:
-            if len(t) > self.chunk:
-                out.append(len(resync_ids(self.tokenizer, t, self.chunk, self.overlap)[0]))
-            else:
-                words = t.encode().split()
-                out.append(sum(map(self.kept.all(words).__getitem__, words)))
-        return out
+        split = [t.encode().split() if len(t) <= self.chunk else None for t in texts]
+        words = list(set().union(*(w for w in split if w)))
+        get = dict(zip(words, self.kept.all(words))).__getitem__
+        return [len(resync_ids(self.tokenizer, t, self.chunk, self.overlap)[0]) if w is None else sum(map(get, w)) for t, w in zip(texts, split)]
 
 
 WHITE = frozenset(" \t\n\v\f\r")
@@ -147,14 +196,16 @@ def _seam(left: list, right: list, text: str, lo: int, hi: int) -> int | None:
     """A place in [lo, hi) where both encodings can be spliced, or None.
 
     Proven stable: white space stands there, which the tokenizer drops and never matches across,
-    and from there to the last white space of the overlap both encodings have the same tokens.
+    and from there to the last white space of the overlap both encodings have the same tokens, at
+    least one.
     """
     last = next((i for i in range(hi - 1, lo - 1, -1) if text[i] in WHITE), None)
     if last is None:
         return None
     first = next(i for i in range(lo, hi) if text[i] in WHITE)
     part = lambda tokens: [t for t in tokens if first <= t[1] and t[2] <= last]
-    return first if part(left) == part(right) else None
+    both = part(left)
+    return first if both and both == part(right) else None
 
 
 def resync_ids(tokenizer, text: str, chunk: int, overlap: int) -> tuple[list[int], int]:

@@ -43,14 +43,14 @@ def _write_shards(root: str, tokenizer_path: str, end_id: int, dtype: str):
         fs.create_dir(f"{path}/ids", recursive=True)
         with fs.open_output_stream(draft) as out:
             for whole in batches:
-                for begin in range(0, whole.num_rows, 256):
-                    b = whole.slice(begin, 256)
+                for begin in range(0, whole.num_rows, 2048):
+                    b = whole.slice(begin, 2048)
                     keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                     sizes, ordinals = [], []
-                    for key, text in zip(keys, texts):
-                        ids = encoder.encode(text or "") + end
-                        out.write(ids)
-                        sizes.append(len(ids) // width)
+                    encoded = encoder.encode_all([t or "" for t in texts])
+                    out.write(end.join([*encoded, b""]))
+                    for key, ids in zip(keys, encoded):
+                        sizes.append(len(ids) // width + 1)
                         ordinal = ordinal + 1 if key == last else 0
                         last = key
                         ordinals.append(ordinal)
