@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import html
 import re
 import tarfile
 
@@ -35,23 +34,34 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 
 
-def archive_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """(archive, member, text) of tar archives: one archive per task at a time, member by member."""
+def archive_members(spark: SparkSession, path: str, suffix: str = "", stream: bool = False) -> DataFrame:
+    """(archive, member, text) of tar archives, compressed or not: one archive per task, member by member.
+
+    An archive of up to 2 GB is one value that Spark reads. With ``stream`` tasks read larger ones
+    piece by piece themselves, from where Arrow's file systems reach.
+    """
 
     def members(batches):
         import io
 
         import pyarrow as pa
+        from pyarrow import fs
 
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                if stream:
+                    system, own = fs.FileSystem.from_uri(name)
+                    raw = system.open_input_stream(own, compression=None)
+                else:
+                    raw = io.BytesIO(content)
+                with raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
                     for m in tar:
                         if m.isfile() and m.name.endswith(suffix):
                             text = tar.extractfile(m).read().decode("utf-8", "replace")
                             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([m.name]), pa.array([text])], ["archive", "member", "text"])
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    raw = spark.read.format("binaryFile").load(path)
+    raw = raw.select(F.replace("path", F.lit("file:/"), F.lit("file:///")).alias("path"), F.lit(None).cast("binary")) if stream else raw.select("path", "content")
     return raw.mapInArrow(members, "archive string, member string, text string")
 
 
@@ -119,49 +129,6 @@ def deckstrings(codes: Column) -> Column:
     return decode(codes)
 
 
-_TURN = re.compile(r"-+\s*(?P<player>.+?)'s turn (?P<turn>\d+)\s*-+")
-_MOVE = re.compile(r"(?P<verb>plays|buys|gains|trashes)\s+(?P<what>.+?)\.?$")
-_COUNT = re.compile(r"(?:(?P<n>\d+|an?|the)\s+)?(?P<name>.+)")
-
-
-def singular(name: str, known: frozenset[str] = frozenset()) -> str:
-    """A card name without its plural ending, where the vocabulary does not have it as it is."""
-    if name in known:
-        return name
-    for end, repl in (("ies", "y"), ("es", ""), ("s", "")):
-        if name.endswith(end) and (not known or name[: -len(end)] + repl in known):
-            return name[: -len(end)] + repl
-    return name
-
-
-def parse_game_log(page: str, known: frozenset[str] = frozenset()) -> list[dict]:
-    """Moves of an HTML game log: player, turn, order, verb, card and number, in order."""
-    body = re.search(r"(?is)<pre>(.*?)</pre>", page or "")
-    out, player, turn, order = [], None, None, 0
-    for line in html.unescape(re.sub(r"<[^>]*>", "", body[1])).splitlines() if body else []:
-        if t := _TURN.search(line):
-            player, turn, order = t["player"].strip(), int(t["turn"]), 0
-        elif player and (m := _MOVE.search(line)):
-            for part in re.split(r",\s*(?:and\s+)?|\s+and\s+", m["what"]):
-                c = _COUNT.fullmatch(part.strip())
-                if c:
-                    n = int(c["n"]) if c["n"] and c["n"].isdigit() else 1
-                    out.append({"player": player, "turn": turn, "at": order, "verb": m["verb"], "card": singular(c["name"], known) if n > 1 else c["name"], "n": n})
-                    order += 1
-    return out
-
-
-def game_moves(rows: DataFrame, key: str, page: str, known: list[str] = []) -> DataFrame:
-    """(key, player, turn, at, verb, card, n) of logs, parsed page by page."""
-    names = frozenset(known)
-
-    @F.pandas_udf("array<struct<player:string,turn:int,at:int,verb:string,card:string,n:int>>")
-    def moves(p):
-        return p.map(lambda t: parse_game_log(t, names))
-
-    return rows.select(key, F.inline(moves(F.col(page))))
-
-
 def write_partitioned(frame: DataFrame, path: str, by: list[str], rows_per_file: int = 50_000) -> None:
     frame.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(path)
 

@@ -32,12 +32,6 @@ def test_deckstrings(spark):
     assert [[(e.card, e.n) for e in r.d] for r in rows] == [[(5, 1), (1004, 1), (77, 2), (300, 3)], [], [], []]
 
 
-def test_game_logs(spark):
-    page = "<html><pre>--- Ann's turn 1 ---\nAnn plays 3 <b>Coppers</b>.\nAnn buys a Silver.\n--- Bo's turn 1 ---\nBo gains an Estate and 2 Duchies.\nnothing here\n</pre></html>"
-    moves = readers.game_moves(spark.createDataFrame([(1, page), (2, "no log"), (3, None)], "id int, page string"), "id", "page", ["Copper", "Silver", "Estate", "Duchy"]).collect()
-    assert [(m.player, m.turn, m.at, m.verb, m.card, m.n) for m in moves] == [("Ann", 1, 0, "plays", "Copper", 3), ("Ann", 1, 1, "buys", "Silver", 1), ("Bo", 1, 0, "gains", "Estate", 1), ("Bo", 1, 1, "gains", "Duchy", 2)]
-
-
 def test_files_and_archives(spark, tmp_path):
     import io
     import tarfile
@@ -50,7 +44,8 @@ def test_files_and_archives(spark, tmp_path):
             info = tarfile.TarInfo(name)
             info.size = 3
             tar.addfile(info, io.BytesIO(b"abc"))
-    assert [(r.member, r.text) for r in readers.archive_members(spark, str(tmp_path / "x.tar"), ".html").collect()] == [("one.html", "abc")]
+    for stream in (False, True):
+        assert [(r.member, r.text) for r in readers.archive_members(spark, str(tmp_path / "x.tar"), ".html", stream).collect()] == [("one.html", "abc")]
     (tmp_path / "w.csv").write_text("id,deck_Fire Bolt,won\n1,2,true\n2,,false\n")
     assert [tuple(r) for r in readers.wide_csv(spark, str(tmp_path / "w.csv"), "deck_.*").collect()] == [("1", 2, "true"), ("2", None, "false")]
     readers.write_json_shards(spark.range(10).coalesce(1), str(tmp_path / "out"), 4)
