@@ -10,9 +10,9 @@ import re
 import numpy as np
 
 #: Pieces that one process keeps in each of two generations, and the longest that it keeps.
-KEPT_PIECES, KEPT_CHARS = 700_000, 64
+KEPT_PIECES, KEPT_CHARS = 450_000, 64
 #: Characters of the texts whose words are looked up together.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 3_000_000
 #: Fixed value: how the vocabulary writes a space.
 SPACE_TOKEN = "Ġ"
 #: Only in texts of these characters is every word surely encoded by itself.
@@ -134,6 +134,7 @@ class PieceEncoder:
         coded = lists.values.dictionary_encode()
         words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         bounds = lists.offsets.to_numpy()
+        del lists, coded
         odd = np.zeros(len(words) + 1, bool)
         for w in ("", "\n"):  # white space next to white space; every text begins with one empty piece
             if w in words:
@@ -159,6 +160,7 @@ class PieceEncoder:
         whole = sorted(whole)
         for k, own in zip(whole, self._ids([texts[k] for k in whole])):
             out[k] = own
+        pa.default_memory_pool().release_unused()
         return out
 
     def encode(self, text: str) -> bytes:
