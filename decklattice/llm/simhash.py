@@ -16,8 +16,6 @@ from .shingles import shingle_components
 BITS = 64
 #: Fingerprints sampled for the estimates (by smallest hash: the same ones in every run).
 SAMPLE = 4096
-#: Differing bits of the fingerprints of single words within which similar texts are sought.
-WORD_BITS = 6
 #: Flipped bits that a probe may have in one group: this bounds the masks that a plan holds.
 MOST_FLIPS = 2
 #: Fingerprints of one index bucket that one block holds; larger buckets are split into blocks.
@@ -157,12 +155,9 @@ class _Forest:
         return hits[first]
 
 
-def _links(tau: int, most: int | None):
+def _links(tau: int):
     """Verify probes against the index fingerprints of their block; return a spanning set of links.
 
-    With ``most``, rows also have a second fingerprint, which must be within that many bits, and an
-    id of their own; else the fingerprint is the id.
-
     Rows come sorted by (part, key, block, is_probe). Links are verified one and all, but only those
     that connect something new are returned, so a block of n copies gives about n rows, not n * n.
     """
@@ -177,10 +172,7 @@ def _links(tau: int, most: int | None):
 
         def linked(p, i):
             """Which pairs of probe and index rows (as broadcast) are links."""
-            near = np.bitwise_count(p[0] ^ i[0]) <= tau
-            if most is not None:
-                near &= np.bitwise_count(p[1] ^ i[1]) <= most
-            return near & (p[-1] != i[-1])
+            return (np.bitwise_count(p[0] ^ i[0]) <= tau) & (p[0] != i[0])
 
         def probe(rows):
             nonlocal forest
@@ -236,11 +228,10 @@ def _links(tau: int, most: int | None):
     return run
 
 
-def links(fps: DataFrame, tau: int = 4, most: int | None = None) -> DataFrame:
+def links(fps: DataFrame, tau: int = 4) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints ``fp`` within ``tau`` bits of each other.
 
-    With ``most``, ``fps`` has (fp, fine, node): a link also needs ``fine`` within ``most`` bits, and
-    is one of nodes. Every pair within ``tau`` bits is found, and is joined by the returned links, directly or by
+    Every pair within ``tau`` bits is found, and is joined by the returned links, directly or by
     way of others. An index bucket of more than ``BLOCK`` fingerprints is split by hash into blocks
     in different tasks, and its probes go to each block.
     """
@@ -248,7 +239,7 @@ def links(fps: DataFrame, tau: int = 4, most: int | None = None) -> DataFrame:
     sample = np.array([r.fp for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     parts = plan(sample, n, tau)
     entry = lambda k, mask: F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key"))
-    own_columns = ["fp"] if most is None else ["fp", "fine", "node"]
+    own_columns = ["fp"]
     index = fps.select(*own_columns, F.inline(F.array(*[entry(k, m) for k, (m, _) in enumerate(parts)])))
     hot = index.groupBy("part", "key").count().where(F.col("count") > BLOCK).select("part", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     hot = materialise(hot, "hot")
@@ -266,7 +257,7 @@ def links(fps: DataFrame, tau: int = 4, most: int | None = None) -> DataFrame:
     rows = index.withColumn("is_probe", F.lit(False)).select(columns).union(probes.withColumn("is_probe", F.lit(True)).select(columns))
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = rows.repartition(tasks, "part", "key", "block").sortWithinPartitions("part", "key", "block", "is_probe")
-    return laid.mapInArrow(_links(tau, most), "a bigint, b bigint")
+    return laid.mapInArrow(_links(tau), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, tau: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,41 +279,6 @@ def near_duplicates(docs: DataFrame, tau: int = 4, words: int = 4, id_col: str =
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, tau: int = WORD_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every row: near-duplicates by the similarity of their word shingles.
-
-    SimHash estimates the cosine similarity of two texts' shingles as cos(pi * d / 64) from the d
-    bits in which their fingerprints differ; texts link where that is ``similarity`` or more (13
-    bits or fewer at 0.8). So wide a radius cannot be searched by pigeonholes, but texts that share
-    most shingles share nearly all words: the search runs over the fingerprints of single words,
-    within ``tau`` bits, and the shingles' fingerprint decides. Nulls, empty texts, repeated rows
-    and empty tables are as in ``near_duplicates``; texts without a shingle link with each other.
-    """
-    most = int(np.floor(np.arccos(similarity) / np.pi * BITS))
-    fps = materialise(_two_fingerprints(docs, words, id_col, text_col), "fingerprints")
-    nodes = fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("fine").alias("fine"))
-    nodes = materialise(nodes, "nodes")
-    root = connected_components(links(nodes.select("fp", "fine", "node"), tau, most))
-    named = nodes.select("node", "least").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
-
-
-def _two_fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp of single words, fine: fp of shingles, node: a hash of both)."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            two = np.array([(_fingerprint(t, 1), _fingerprint(t, words)) for t in ((x.as_py() or "") for x in b.column(1))], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(two[:, 0]), pa.array(two[:, 1])], ["doc_id", "fp", "fine"])
-
-    out = slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp bigint, fine bigint")
-    return out.withColumn("node", F.xxhash64("fp", "fine"))
-
-
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component of ``shingle_components``: that of the smallest id.
 

@@ -51,3 +51,41 @@ def test_the_stage_keeps_one_of_each_component(spark):
     out = texts()
     kept = simhash.keep_one(spark.createDataFrame([(i, t, "x") for i, t in enumerate(out)], SCHEMA))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute(out).values()))
+
+
+def test_families_of_variants_equal_exact_jaccard(spark, monkeypatch):
+    """Many variants of a text, some like their leader, some only like each other; small blocks."""
+    from decklattice.llm import stars
+
+    monkeypatch.setattr(stars, "BLOCK", 5)
+    rng = random.Random(12)
+    words = ["w%d" % i for i in range(2000)]
+    out = []
+    for _ in range(3):
+        base = [rng.choice(words) for _ in range(120)]
+        for k in range(40):
+            w = list(base)
+            for at in rng.sample(range(len(w)), rng.choice([1, 2, 3, 6, 9, 14])):
+                w[at] = rng.choice(words)
+            out += [" ".join(w)] * (3 if k == 7 else 1)
+            for _ in range(rng.randint(0, 2)):
+                v = list(w)
+                v[rng.randrange(len(v))] = "x"
+                out.append(" ".join(v))
+    rng.shuffle(out)
+    frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(out)], SCHEMA)
+    assert {r.doc_id: r.component_id for r in shingles.shingle_components(frame).collect()} == brute(out)
+
+
+def test_sketches_agree_as_sets_do():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 400, 5000):
+        h = np.unique(rng.integers(-(2**63), 2**63, n))
+        assert shingles.sketch(h) == shingles.sketch(h.copy())
+        other = np.unique(np.concatenate((h[: max(1, n * 9 // 10)], rng.integers(-(2**63), 2**63, n // 10))))
+        (a, b), (c, d) = shingles.sketch(h), shingles.sketch(other)
+        differ = sum((a ^ c) >> 2 * k & 3 != 0 or (b ^ d) >> 2 * k & 3 != 0 for k in range(32))
+        assert differ <= 16
+    assert shingles.sketch(np.empty(0, np.int64)) == (0, 0)

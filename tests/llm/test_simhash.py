@@ -75,31 +75,6 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, tau, block)
     assert groups([roots.get(f, f) for f in fps]) == groups(want)
 
 
-def test_similar_documents_equal_brute_force(spark):
-    rng = random.Random(11)
-    words = ["w%d" % i for i in range(3000)]
-    base = [[rng.choice(words) for _ in range(rng.randint(80, 400))] for _ in range(25)]
-    out = [" ".join(b) for b in base]
-    for b in base[:15]:
-        for _ in range(4):
-            w = list(b)
-            for k in rng.sample(range(len(w)), max(1, len(w) // 60)):
-                w[k] = rng.choice(words)
-            out.append(" ".join(w))
-    frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(out)] + [(900, None, "x"), (901, "", "x")], SCHEMA)
-    fine, one = ([simhash._fingerprint(t, k) for t in out] for k in (5, 1))
-    label = list(range(len(out)))
-    for i in range(len(out)):
-        for j in range(i):
-            if bin(fine[i] ^ fine[j]).count("1") <= 13 and bin(one[i] ^ one[j]).count("1") <= simhash.WORD_BITS:
-                a, b = label[i], label[j]
-                label = [b if x == a else x for x in label]
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()}
-    assert got.pop(900) == got.pop(901) == 900
-    assert got == {i: min(j for j in range(len(out)) if label[j] == label[i]) for i in range(len(out))}
-    assert len(set(got.values())) <= 32  # nearly every copy is found
-
-
 def test_thresholds_fill_the_pigeonhole():
     rng = np.random.default_rng(2)
     sample = rng.integers(0, 2**64, 2000, dtype=np.uint64)
