@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Words of a seed; seeds are the rarest in each window of so many neighbours.
 SEED_WORDS, WINDOW = 3, 6
+#: N-grams that occur this often in the corpus at most are all seeds.
+RARE = 16
 #: Items of fewer words count only where a text has them whole, word for word.
 LEAST_WORDS = 8
 #: Benchmark text, in characters, that is broadcast at a time; a larger benchmark goes in blocks.
@@ -25,7 +30,7 @@ class Block:
     """Some benchmark items as word numbers, and their seeds sorted by number of the n-gram."""
 
     vocabulary: dict[str, int]
-    ids: list[int]
+    ids: list
     items: list[np.ndarray]
     grams: np.ndarray  # distinct n-grams, sorted
     gram: np.ndarray  # of each occurrence: which one
@@ -50,7 +55,7 @@ class Block:
         return np.where(known, out, -1)
 
 
-def _block(rows: list[tuple[int, str]]) -> Block:
+def _block(rows: list[tuple]) -> Block:
     vocabulary: dict[str, int] = {}
     ids, items = [], []
     for item_id, text in rows:
@@ -106,18 +111,22 @@ class Finder:
 
 
 def rare_seeds(block: Block, counts: np.ndarray) -> np.ndarray:
-    """Indices of the occurrences that are the rarest of some window of their item.
+    """Indices of the occurrences whose n-gram is rare in the corpus, or the rarest of some window of their item.
 
-    Every stretch of WINDOW + SEED_WORDS - 1 words of an item holds a seed, however frequent its
-    n-grams are in the corpus, so a passage that many documents share is not lost.
+    N-grams that no text has are no seeds. All up to RARE occurrences are, so an edited item is
+    found by whatever n-gram is left of it. Of each stretch of WINDOW n-grams of an item the rarest
+    is a seed however frequent it is, so a passage that many documents share is not lost.
     """
-    seeds: set[int] = set()
+    own = counts[block.gram]
+    seeds = set(np.flatnonzero((own > 0) & (own <= RARE)).tolist())
+    places = np.where(own > 0, own, np.iinfo(np.int64).max)
     bounds = np.searchsorted(block.item, np.arange(len(block.items) + 1))
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        c = counts[block.gram[lo:hi]]
-        for at in range(0, max(1, hi - lo - WINDOW + 1)):
-            part = c[at : at + WINDOW]
-            seeds.add(int(lo + at + len(part) - 1 - np.argmin(part[::-1])))
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        for at in range(lo, max(lo + 1, hi - WINDOW + 1)):
+            part = places[at : min(at + WINDOW, hi)]
+            best = at + len(part) - 1 - int(np.argmin(part[::-1]))
+            if own[best]:
+                seeds.add(best)
     return np.array(sorted(seeds), np.int64)
 
 
@@ -146,7 +155,7 @@ class Judge:
         self.seeds, self.bounds = seeds[order], np.searchsorted(of[order], np.arange(len(kinds) + 1))
         self.kept: dict = {}
 
-    def best(self, text: str) -> tuple[float, int | None, int]:
+    def best(self, text: str) -> tuple:
         """(score as a share of the item's words, item id, items compared); 0 and None without a seed."""
         numbers = self.block.numbers(text)
         places, kinds = self.finder.hits(numbers)
@@ -156,7 +165,7 @@ class Judge:
         for p, k in zip(places.tolist(), kinds.tolist()):
             for s in self.seeds[self.bounds[k] : self.bounds[k + 1]].tolist():
                 pairs.setdefault(int(self.block.item[s]), []).append(p - int(self.block.place[s]))
-        top: tuple[float, int | None] = (0.0, None)
+        top: tuple = (0.0, None)
         for i in sorted(pairs):
             item, shifts = self.block.items[i], np.unique(pairs[i])
             room = len(item) // 4 + 8
@@ -198,10 +207,9 @@ def _counts(held):
     return run
 
 
-def _judges(docs: DataFrame, benchmark: DataFrame, text_col: str) -> list:
-    """For each block of the benchmark a broadcast (block, seeds): seeds by counts over all texts."""
+def _judges(docs: DataFrame, benchmark: DataFrame, text_col: str):
+    """For each block of the benchmark, one after another, a broadcast (block, seeds): seeds by counts over all texts."""
     spark = docs.sparkSession
-    out = []
     for block in benchmark_blocks(benchmark):
         held = spark.sparkContext.broadcast(block)
         counts = np.zeros(len(block.grams), np.int64)
@@ -209,58 +217,90 @@ def _judges(docs: DataFrame, benchmark: DataFrame, text_col: str) -> list:
             found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_counts(held), "gram bigint, n bigint")
             for r in found.groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():  # at most one row per n-gram of the block
                 counts[r.gram] = r.n
-        out.append(spark.sparkContext.broadcast((block, rare_seeds(block, counts))))
         held.unpersist()
-    return out
+        yield spark.sparkContext.broadcast((block, rare_seeds(block, counts)))
+
+
+def _scored(slim: DataFrame, held, id_type) -> DataFrame:
+    """Adds (score, item_id, n_items) of one block to rows whose last column is the text, which goes."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(id_type)
+
+    def run(batches):
+        import pyarrow as pa
 
+        judge = Judge(*held.value)
+        for b in batches:
+            s = [judge.best(t.as_py() or "") for t in b.column(b.num_columns - 1)]
+            columns = [pa.array([x[0] for x in s], pa.float64()), pa.array([x[1] for x in s], kind), pa.array([x[2] for x in s], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], [*b.schema.names[:-1], "score", "item_id", "n_items"])
 
-def _best(judges: list, text: str) -> tuple[float, int | None, int]:
-    found = [j.best(text) for j in judges]
-    score, item, _ = max(found, key=lambda x: x[0])
-    return score, item, sum(x[2] for x in found)
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
+    return slim.mapInArrow(run, f"{own}, score double, item_id {id_type.simpleString()}, n_items bigint")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, contaminated, score, item_id, n_items) of every row.
 
     Seeds are n-grams of SEED_WORDS words of the benchmark items, lower-cased and without
-    punctuation; the corpus is counted once to take the rarest n-gram of each window of an item.
+    punctuation; the corpus is counted once to take the rare ones, and the rarest of each window of
+    an item.
     Texts with a seed are aligned with its item around it. ``score`` is the best Smith-Waterman
     score as a share of the item's length (1: the whole item, word for word); a document is
     contaminated at ``threshold`` or more, so also by an edited copy or the larger part of an item.
     An item of fewer than LEAST_WORDS words counts only where it stands whole, word for word; one of
-    fewer than SEED_WORDS words has no seed and is not searched.
+    fewer than SEED_WORDS words has no seed and is not searched: it stands in texts by chance.
 
-    The benchmark is broadcast in blocks of bounded size. Null and empty texts score 0 with a null
-    item; of equal scores the smallest item id counts; repeated rows score alike; an empty table
-    or benchmark gives no rows or scores of 0; other columns are not read.
+    The benchmark is broadcast in blocks of bounded size, and where there are several, one at a time:
+    the scores of each are written, by text, before the next one is sent. Null and empty texts score
+    0 with a null item; of equal scores the smallest item id counts; ids may be of any type; repeated
+    rows score alike; an empty table or benchmark gives no rows or scores of 0; other columns are not
+    read.
     """
+    id_type = benchmark.schema["item_id"].dataType
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    held = _judges(docs, benchmark, text_col)
-
-    def run(batches):
-        import pyarrow as pa
-
-        judges = [Judge(*h.value) for h in held]
-        for b in batches:
-            s = [_best(judges, t.as_py() or "") for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x[0] >= threshold for x in s], pa.bool_()), pa.array([x[0] for x in s], pa.float64()), pa.array([x[1] for x in s], pa.int64()), pa.array([x[2] for x in s], pa.int64())],
-                ["doc_id", "contaminated", "score", "item_id", "n_items"],
-            )
-
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, contaminated boolean, score double, item_id bigint, n_items bigint")
+    judges = _judges(docs, benchmark, text_col)
+    held, following = next(judges), next(judges, None)
+    if following is None:
+        out = _scored(slim, held, id_type)
+    else:
+        key = F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("n"), F.crc32(F.col("text").cast("binary")).alias("c"))
+        texts = slim.select(key.alias("key"), "text")
+        done = []
+        while held is not None:
+            done.append(materialise(_scored(texts, held, id_type).where("n_items > 0").distinct(), "block-scores"))
+            held.unpersist()
+            held, following = following, next(judges, None)
+        every = reduce(DataFrame.union, done)
+        least = every.groupBy("key").agg(F.max("score").alias("score"), F.sum("n_items").alias("n_items"))
+        item = every.select("key", "score", "item_id").join(least.select("key", "score"), ["key", "score"]).groupBy("key").agg(F.min("item_id").alias("item_id"))
+        best = least.join(item, "key")
+        out = slim.select("doc_id", key.alias("key")).join(best, "key", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.when(F.col("score") > 0, F.col("item_id")).alias("item_id"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"))
+    return out.select("doc_id", (F.col("score") >= threshold).alias("contaminated"), "score", "item_id", "n_items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``contamination`` finds, columns and types as they are."""
-    held, at = _judges(docs, benchmark, text_col), docs.columns.index(text_col)
-
-    def run(batches):
-        import pyarrow as pa
+    """``docs`` without the rows that ``contamination`` finds, columns and types as they are.
 
-        judges = [Judge(*h.value) for h in held]
-        for b in batches:
-            yield b.filter(pa.array([_best(judges, t.as_py() or "")[0] < threshold for t in b.column(at)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    One pass over the texts for each block of the benchmark, written before the next where there are
+    several.
+    """
+    at, first = docs.columns.index(text_col), True
+    judges = _judges(docs, benchmark, text_col)
+    held = next(judges)
+    while held is not None:
+        following = next(judges, None)
+
+        def run(batches, held=held):
+            import pyarrow as pa
+
+            judge = Judge(*held.value)
+            for b in batches:
+                yield b.filter(pa.array([judge.best(t.as_py() or "")[0] < threshold for t in b.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+        if following is not None or not first:
+            docs = materialise(docs, "block-kept")
+        held, first = following, False
+    return docs

@@ -84,3 +84,35 @@ def test_short_items_count_word_for_word(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.contaminated, r.score) for r in decontamination.contamination(docs, benchmark).collect()}
     assert got == {0: (True, 1.0), 1: (False, 0.0), 2: (False, 0.0), 3: (False, 0.0)}
+
+
+def test_ids_of_any_type(spark, monkeypatch):
+    docs, items = make()
+    frame = spark.createDataFrame([("d%d" % i, t) for i, t, _ in docs[:40]], "doc_id string, text string")
+    bench = spark.createDataFrame([("item-%03d" % k, t) for k, t in items], "item_id string, text string")
+    one = sorted(map(str, d.contamination(frame, bench).collect()))
+    assert any("item-" in r for r in one)
+    monkeypatch.setattr(d, "BLOCK_CHARS", 700)
+    assert sorted(map(str, d.contamination(frame, bench).collect())) == one
+
+
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.3])
+def test_edited_items_are_found(spark, share):
+    """Every tenth, fifth or third word or so of an item changed, left out or doubled, in 150 texts."""
+    rng = random.Random(int(share * 100))
+    words = ["w%d" % i for i in range(3000)]
+    items = [[rng.choice(words) for _ in range(rng.randint(25, 60))] for _ in range(150)]
+    docs, want = [], []
+    for k, item in enumerate(items):
+        own = []
+        for w in item:
+            r = rng.random()
+            own += [w] if r >= share else [[rng.choice(words)], [], [w, w]][int(3 * r / share)]
+        text = [rng.choice(words) for _ in range(100)] + own + [rng.choice(words) for _ in range(100)]
+        docs.append((k, " ".join(text)))
+        want.append(plain_score(item, text[90 : 110 + len(own)]) / len(item))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r.score for r in d.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    due = [k for k, s in enumerate(want) if s >= 0.5]
+    found = sum(got[k] >= 0.5 for k in due) / len(due)
+    assert len(due) > 60 and found >= 0.99
