@@ -50,10 +50,41 @@ def test_every_game_draft_and_kingdom_label(spark):
 
 
 def test_masked_fields(spark):
-    cards = spark.createDataFrame([("x", "3", "R", "mythic", ["R", "G"], "2", 1, 3.0), ("y", "*", None, "special", [], "25", 2, 1.0)], "card string, power string, mana_cost string, rarity string, colors array<string>, toughness string, faces int, cmc double")
+    cards = spark.createDataFrame([("x", "3", "R", "mythic", ["R", "G"], "2", 1, 3.0, "Creature"), ("y", "*", None, "special", [], "25", 2, 1.0, None)], "card string, power string, mana_cost string, rarity string, colors array<string>, toughness string, faces int, cmc double, type_line string")
     f = Family((), "card", None, cards)
     out = {n: build(f, x).collect() for n, x in c.MASKED["mtg"].items()}
     assert [(r.card, r.label) for r in out["PowerRegressionMetric"]] == [("x", 3.0)] and [(r.card, r.label) for r in out["ToughnessRegressionMetric"]] == [("x", 2.0)]
     assert {r.card: r.label for r in out["RarityMaskMetric"]} == {"x": "mythic", "y": "OTHER"}
     assert {r.card: r.labels for r in out["ColorsMaskMetric"]}["x"] == [False, False, False, True, True]
     assert [(r.card, r.label) for r in out["CmcRegressionMetric"]] == [("x", 3.0)]
+
+
+def _labels(spark, game, schema, rows):
+    f = Family((), "card", None, spark.createDataFrame(rows, schema))
+    return {n: {r.card: r[-1] for r in build(f, x).collect()} for n, x in c.MASKED[game].items()}
+
+
+def test_masked_types_of_words(spark):
+    mtg = _labels(spark, "mtg", "card string, power string, mana_cost string, rarity string, colors array<string>, toughness string, faces int, cmc double, type_line string",
+                  [("x", "3", "R", "rare", [], "2", 1, 3.0, "Legendary Artifact Creature — Golem"), ("y", None, None, "rare", [], None, 1, 0.0, "Artifact Land"), ("z", None, None, "rare", [], None, 1, 0.0, "Battle — Siege"), ("f", None, None, "rare", [], None, 2, 0.0, "Creature")])
+    assert mtg["CardTypeMaskMetric"] == {"x": "Creature", "y": "Land", "z": "OTHER"}
+    fab = _labels(spark, "flesh_and_blood", "card string, pitch string, cost string, power string, defense string, typebox string, back_face string",
+                  [("a", "1", "2", "3", "30", "Light Warrior Action - Attack", None), ("b", "4", "X", None, None, "Assassin / Ninja Attack Reaction", None), ("c", None, None, None, None, "Shadow Instant", None), ("d", "1", "1", None, None, "Bard Equipment - Head", None), ("e", "1", "1", None, None, "Ninja Action", "back")])
+    assert fab["ClassMaskMetric"] == {"a": "Warrior", "b": "Multiclass", "c": "Classless", "d": "OTHER"}
+    assert fab["CardTypeMaskMetric"] == {"a": "Action", "b": "Attack Reaction", "c": "Instant", "d": "Equipment"}
+    assert fab["PitchMaskMetric"] == {"a": "1", "d": "1"} and fab["CostRegressionMetric"] == {"a": 2.0, "d": 1.0} and fab["DefenseRegressionMetric"] == {}
+
+
+def test_masked_fields_of_other_games(spark):
+    hs = _labels(spark, "hearthstone", "card string, cost int, attack int, health int, type string, rarity string, cardClass string, classes array<string>, races array<string>, spellSchool string",
+                 [("m", 3, 2, 25, "MINION", "EPIC", "MAGE", None, ["ALL"], None), ("s", 30, None, None, "SPELL", "FREE", None, ["MAGE", "ROGUE"], None, None), ("t", 1, None, None, "SPELL", "FREE", "WEIRD", None, None, "FEL"), ("n", 1, 1, 1, "MINION", "FREE", None, None, None, None)])
+    assert hs["ClassMaskMetric"] == {"m": "MAGE", "s": "MULTICLASS", "t": "OTHER"} and hs["SpellSchoolMaskMetric"] == {"s": "NONE", "t": "FEL"}
+    assert hs["RacesMaskMetric"] == {"m": [True] * 12, "n": [False] * 12} and hs["HealthRegressionMetric"] == {"n": 1.0}
+    pk = _labels(spark, "pokemon", "card string, supertype string, hp string, types array<string>, subtypes array<string>, convertedRetreatCost int, weaknesses array<string>",
+                 [("p", "Pokémon", "60", ["Fire", "Dragon"], ["Stage 1", "VMAX"], 2, ["Fairy"]), ("q", "Trainer", None, None, ["Item"], None, None), ("v", "Pokémon", "200", ["Fire"], ["VMAX"], None, [])])
+    assert pk["StageMaskMetric"] == {"p": "Stage 1", "v": "OTHER"} and pk["WeaknessMaskMetric"] == {"p": "Fairy"}
+    assert [sum(x) for x in (pk["TypesMaskMetric"]["p"], pk["TypesMaskMetric"]["v"])] == [2, 1]
+    do = _labels(spark, "dominion", "card string, name string, cost string, potcost string, types array<string>, cardset_tags array<string>",
+                 [("a", "Peddler", "8*", None, ["Action"], ["prosperity1stEdition", "prosperity2ndEdition"]), ("b", "Vineyard", "", "1", ["Victory"], ["alchemy"]), ("c", "Event", "", None, ["Odd"], ["dominion1stEdition", "base"]), ("d", "Augurs", "3*", None, ["Action"], ["allies"]), ("e", "Fair", "4", None, ["Action"], ["cornucopiaAndGuilds"])])
+    assert do["CostRegressionMetric"] == {"a": 8.0, "b": 0.0, "e": 4.0} and do["TypeMaskMetric"]["c"] == "OTHER"
+    assert do["SetMaskMetric"] == {"a": "prosperity", "b": "alchemy", "d": "allies", "e": "cornucopia"}
