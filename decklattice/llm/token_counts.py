@@ -16,7 +16,9 @@ def _counts(path: str, chunk: int, overlap: int, limit: int):
 
         from .encoders import WordCounter
 
-        counter = _COUNTERS.setdefault((path, chunk, overlap), WordCounter(path, chunk, overlap))
+        if (path, chunk, overlap) not in _COUNTERS:
+            _COUNTERS[path, chunk, overlap] = WordCounter(path, chunk, overlap)
+        counter = _COUNTERS[path, chunk, overlap]
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)

@@ -33,7 +33,9 @@ def _write_shards(root: str, tokenizer_path: str, end_id: int, dtype: str):
         from .encoders import PieceEncoder
 
         task = TaskContext.get()
-        encoder = _ENCODERS.setdefault((tokenizer_path, dtype), PieceEncoder(tokenizer_path, dtype))
+        if (tokenizer_path, dtype) not in _ENCODERS:
+            _ENCODERS[tokenizer_path, dtype] = PieceEncoder(tokenizer_path, dtype)
+        encoder = _ENCODERS[tokenizer_path, dtype]
         end, width = np.asarray([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         fs, path = _fs(root)
         shard = task.partitionId()

@@ -58,6 +58,7 @@ def test_families_of_variants_equal_exact_jaccard(spark, monkeypatch):
     from decklattice.llm import stars
 
     monkeypatch.setattr(stars, "BLOCK", 5)
+    monkeypatch.setattr(shingles, "BLOCK", 20)
     rng = random.Random(12)
     words = ["w%d" % i for i in range(2000)]
     out = []
