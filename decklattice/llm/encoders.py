@@ -186,6 +186,18 @@ class WordCounter:
         return [len(resync_ids(self.tokenizer, t, self.chunk, self.overlap)[0]) if w is None else sum(map(get, w)) for t, w in zip(texts, split)]
 
 
+@functools.lru_cache(maxsize=1)
+def piece_encoder(path: str, dtype: str) -> PieceEncoder:
+    """The worker's encoder: one for all its tasks, as functions that are sent to it carry no state."""
+    return PieceEncoder(path, dtype)
+
+
+@functools.lru_cache(maxsize=1)
+def word_counter(path: str, chunk: int, overlap: int) -> WordCounter:
+    """The worker's counter: one for all its tasks."""
+    return WordCounter(path, chunk, overlap)
+
+
 WHITE = frozenset(" \t\n\v\f\r")
 
 

@@ -7,18 +7,15 @@ from pyspark.sql import functions as F
 
 #: Longest text, in characters, that is encoded in one piece, and the first overlap of chunks.
 CHUNK, OVERLAP = 65_536, 512
-_COUNTERS: dict = {}
 
 
 def _counts(path: str, chunk: int, overlap: int, limit: int):
     def run(batches):
         import pyarrow as pa
 
-        from .encoders import WordCounter
+        from .encoders import word_counter
 
-        if (path, chunk, overlap) not in _COUNTERS:
-            _COUNTERS[path, chunk, overlap] = WordCounter(path, chunk, overlap)
-        counter = _COUNTERS[path, chunk, overlap]
+        counter = word_counter(path, chunk, overlap)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)

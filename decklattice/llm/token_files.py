@@ -12,7 +12,6 @@ from .common import fresh_path
 
 #: Keys in a bucket of the index on average, and the slots tried for a group of keys at once.
 BUCKET_KEYS, TRIES = 1024, 64
-_ENCODERS: dict = {}
 
 
 def _fs(root: str):
@@ -30,12 +29,10 @@ def _write_shards(root: str, tokenizer_path: str, end_id: int, dtype: str):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .encoders import PieceEncoder
+        from .encoders import piece_encoder
 
         task = TaskContext.get()
-        if (tokenizer_path, dtype) not in _ENCODERS:
-            _ENCODERS[tokenizer_path, dtype] = PieceEncoder(tokenizer_path, dtype)
-        encoder = _ENCODERS[tokenizer_path, dtype]
+        encoder = piece_encoder(tokenizer_path, dtype)
         end, width = np.asarray([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         fs, path = _fs(root)
         shard = task.partitionId()
