@@ -259,7 +259,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     """Fit on at most ``per_class`` labelled documents of each class, none of them held out.
 
     Documents with two labels count as toxic if either says so; labels without a document, null
-    ids and null labels are ignored.
+    ids and null labels are ignored; a null or empty text has a label but no spans. Without both
+    labels every score is that of a text without spans.
     """
     seen = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     seen = seen.where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -276,6 +277,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
 _SCORERS: dict = {}
 
 
+def worker_scorer(value: tuple) -> Scorer:
+    """The worker's scorer of a model: one for all its tasks. Tasks import it, as what is sent with them carries no state."""
+    if value[1:] not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[value[1:]] = Scorer(Model(*value))
+    return _SCORERS[value[1:]]
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row.
 
@@ -290,10 +299,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
     def run(batches):
         import pyarrow as pa
 
-        scorer = _SCORERS.get(held.value[1:])
-        if scorer is None:
-            _SCORERS.clear()
-            scorer = _SCORERS[held.value[1:]] = Scorer(Model(*held.value))
+        from .toxicity import worker_scorer
+
+        scorer = worker_scorer(held.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
@@ -312,7 +320,9 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col:
     def run(batches):
         import pyarrow as pa
 
-        scorer = Scorer(Model(*held.value))
+        from .toxicity import worker_scorer
+
+        scorer = worker_scorer(held.value)
         for whole in batches:
             for begin in range(0, whole.num_rows, 256):
                 b = whole.slice(begin, 256)
