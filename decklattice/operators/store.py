@@ -62,7 +62,11 @@ def insert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def create_if_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    return table.unionByName(rows.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti"))
+    """Adds the rows whose key is new; of several with one key the least by its content."""
+    rest = [c for c in rows.columns if c not in keys]
+    body = F.struct(*rest)
+    one = rows.groupBy(*keys).agg(F.min_by(body, F.to_json(body)).alias("__r")).select(*keys, "__r.*") if rest else rows.distinct()
+    return table.unionByName(one.select(rows.columns).join(table.select(*keys), keys, "left_anti"))
 
 
 def last_file_wins(files: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -102,11 +106,21 @@ def version_of(table: DataFrame, keys: list[str]) -> DataFrame:
     return s.select(F.sha2(F.concat_ws(":", "l0", "l1", "l2", "l3", "n_rows"), 256).alias("version"), "n_rows")
 
 
-def dense_index(ids: DataFrame, key: str, most: int = 65_536) -> DataFrame:
-    """(key, card_index): ids in order as 0, 1, ...; more than ``most`` raise."""
-    w = Window.orderBy(key)
-    i = F.row_number().over(w) - 1
-    return ids.select(key).distinct().select(key, i.alias("card_index")).withColumn("card_index", F.when(F.col("card_index") >= most, F.raise_error(F.lit("too many cards"))).otherwise(F.col("card_index")))
+def dense_index(ids: DataFrame, key: str, most: int = 65_536, width: int = 3) -> DataFrame:
+    """(key, card_index): ids in order as 0, 1, ...; more than ``most`` raise.
+
+    Ids are numbered within groups that follow each other (texts by their first ``width`` characters,
+    numbers by thousands), and the groups' sizes are summed up before them: no task has all ids.
+    """
+    one = ids.select(key).where(F.col(key).isNotNull()).distinct()
+    text = dict(one.dtypes)[key] == "string"
+    one = one.withColumn("__group", F.substring(key, 1, width) if text else F.floor(F.col(key) / 1000))
+    sizes = one.groupBy("__group").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)  # one row per group
+    starts = sizes.select("__group", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__group").orderBy(key)) - 1
+    out = one.withColumn("__at", place).join(starts, "__group").select(key, (F.col("__start") + F.col("__at")).cast("int").alias("card_index"))
+    return out.withColumn("card_index", F.when(F.col("card_index") >= most, F.raise_error(F.lit("too many cards")).cast("int")).otherwise(F.col("card_index")))
 
 
 def deck_snapshot(copies: DataFrame, index: DataFrame, deck: str, card: str, unknown_index: int) -> DataFrame:

@@ -34,7 +34,7 @@ def option_view(rows: DataFrame, options: str, pick: str, known: DataFrame | Non
     out = rows.withColumn("pick_index", F.array_position(F.col(options), F.col(pick)) - 1).where("pick_index >= 0")
     if known is None:
         return out
-    w = out.withColumn("__id", F.monotonically_increasing_id())
+    w = out.withColumn("__id", F.sha2(F.to_json(F.struct(*out.columns)), 256))  # the same whenever a task is run again
     bad = w.select("__id", F.explode(options).alias(key)).join(known.select(key), key, "left_anti").select("__id").distinct()
     return w.join(bad, "__id", "left_anti").drop("__id")
 

@@ -28,9 +28,11 @@ def nearest_neighbours(t: Tables):
     return sim.neighbours(t.embeddings, "vec_id", "embedding", 5, F.col("vec_id") % 50 == 0)
 
 
-@query("retrieval_auc", """SELECT event_type, CAST(sum(CASE WHEN p.value > n.value THEN 1.0 WHEN p.value = n.value THEN 0.5 ELSE 0 END) AS DOUBLE) / count(*) AS auc FROM (SELECT event_type, value FROM events WHERE user_id % 2 = 0 AND event_id < 2000) p JOIN (SELECT event_type, value FROM events WHERE user_id % 2 = 1 AND event_id < 2000) n USING (event_type) GROUP BY 1""")
+@query("retrieval_auc", """WITH v AS (SELECT event_type, value, count(*) AS n, count(*) FILTER (user_id % 2 = 0) AS pos FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY value) - (n - 1) / 2 AS place FROM v)
+SELECT event_type, round((sum(pos * place)::DOUBLE - sum(pos)::DOUBLE * (sum(pos)::DOUBLE + 1) / 2) / (sum(pos)::DOUBLE * sum(n - pos)::DOUBLE), 9) AS auc FROM r GROUP BY 1""")
 def retrieval_auc(t: Tables):
-    return sim.auc(t.events, ["event_type"], "value", F.col("user_id") % 2 == 0).select("event_type", "auc")
+    return sim.auc(t.events, ["event_type"], "value", F.col("user_id") % 2 == 0).select("event_type", F.round("auc", 9).alias("auc"))
 
 
 @query("cluster_agreement")

@@ -49,7 +49,7 @@ def next_turn_action_count(t: Tables):
     return ev.next_turn(c, ["user_id"], "turn", "actions")
 
 
-@query("deck_before_turn", f"""WITH e AS (SELECT user_id, card, turn, event_id, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS d FROM ({TURN}) WHERE user_id < 20),
+@query("deck_before_turn", f"""WITH e AS (SELECT user_id, card, turn, event_id, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS d FROM ({TURN})),
 s AS (SELECT *, sum(d) OVER w AS total FROM e WINDOW w AS (PARTITION BY user_id, card ORDER BY turn, event_id ROWS UNBOUNDED PRECEDING)),
 m AS (SELECT *, least(min(total) OVER (PARTITION BY user_id, card ORDER BY turn, event_id ROWS UNBOUNDED PRECEDING), 0) AS low FROM s)
 SELECT user_id, card, turn, CAST(arg_max(total - low, event_id) AS BIGINT) AS held_after FROM m GROUP BY 1, 2, 3""")
@@ -58,7 +58,7 @@ def deck_before_turn(t: Tables):
     return ev.deck_before(e, ["user_id"], "card", "turn", "event_id", "d")
 
 
-@query("held_at_floor", f"""WITH i AS (SELECT user_id, card, min(turn) AS floor_added, CASE WHEN count(*) > 1 THEN max(turn) END AS floor_left FROM ({TURN}) GROUP BY 1, 2), m AS (SELECT DISTINCT user_id, turn AS floor FROM ({TURN}) WHERE turn % 5 = 0)
+@query("held_at_floor", f"""WITH i AS (SELECT user_id, card, min(turn) AS floor_added, CASE WHEN count(*) > 1 THEN max(turn) END AS floor_left FROM ({TURN}) GROUP BY 1, 2), m AS (SELECT DISTINCT user_id, turn AS floor FROM ({TURN}))
 SELECT m.user_id, floor, card, floor_added, floor_left FROM m JOIN i ON m.user_id = i.user_id AND floor_added < floor AND (floor_left IS NULL OR floor_left >= floor)""")
 def held_at_floor(t: Tables):
     e = turns(t)
