@@ -64,6 +64,63 @@ def first_of_repeated(content: Column, order: Column) -> Column:
     return F.map_from_arrays(kept, F.transform(kept, lambda k: F.element_at(content, k)))
 
 
+def number_to_string(value: Column, decimals: int = 2) -> Column:
+    """A number as text, whole ones without a fraction."""
+    whole = value == F.floor(value)
+    return F.when(whole, value.cast("bigint").cast("string")).otherwise(F.regexp_replace(F.format_string(f"%.{decimals}f", value.cast("double")), r"0+$", ""))
+
+
+def weighted_mask(content: Column, table: list[tuple[float, tuple[str, ...]]], seed: str, identity: Column, probability: float = 1.0) -> Column:
+    """With a probability, the keys of one entry of (weight, keys) masked, drawn by the hash of seed and identity.
+
+    Only entries count whose keys the content has; an entry without keys masks nothing.
+    """
+    fits = [F.forall(F.array(*[F.lit(k) for k in keys]), lambda k: F.map_contains_key(content, k)) if keys else F.lit(True) for _, keys in table]
+    weights = [F.when(f, F.lit(float(w))).otherwise(0.0) for f, (w, _) in zip(fits, table)]
+    total = sum(weights[1:], weights[0])
+    at, running, out = hashing.unit(seed, identity) * total, F.lit(0.0), None
+    for w, (_, keys) in zip(weights, table):
+        running = running + w
+        masked = F.transform_values(content, _masked(keys))
+        out = F.when((w > 0) & (at < running), masked) if out is None else out.when((w > 0) & (at < running), masked)
+    return F.when(hashing.unit(seed + "p", identity) < probability, out.otherwise(content)).otherwise(content)
+
+
+def _masked(keys: tuple[str, ...]):
+    return lambda k, v: F.when(k.isin(*keys), F.lit(MASK)).otherwise(v) if keys else v
+
+
+def shuffled(cards: Column, seed: str, identity: Column) -> Column:
+    """The cards in a seeded order; copies are told apart by their place."""
+    keyed = F.transform(cards, lambda c, i: F.struct(hashing.rank_key(seed, F.concat_ws(":", identity, c, i.cast("string"))).alias("k"), c.alias("c")))
+    return F.transform(F.array_sort(keyed), lambda e: e["c"])
+
+
+def without_copies(cards: Column) -> Column:
+    """The first copy of each card, in order."""
+    return F.array_distinct(cards)
+
+
+def per_game(game: Column, content: Column, rules: dict) -> Column:
+    """The content by the rule of its game; games without a rule stay as they are."""
+    out = content
+    for name, rule in rules.items():
+        out = F.when(game == name, rule(content)).otherwise(out)
+    return out
+
+
+def unchanged(content: Column) -> Column:
+    return content
+
+
+def with_field(content: Column, key: str, value: Column, missing: str = "strict") -> Column:
+    """The content with one field replaced; where it is missing: fail, add it or skip it."""
+    has = F.map_contains_key(content, key)
+    replaced = F.transform_values(content, lambda k, v: F.when(k == key, value).otherwise(v))
+    other = {"add": F.map_concat(content, F.create_map(F.lit(key), value)), "skip": content, "strict": F.raise_error(F.lit(f"no field {key}")).cast("map<string,string>")}[missing]
+    return F.when(has, replaced).otherwise(other)
+
+
 def _flat(value, path=""):
     if isinstance(value, dict) and value:
         for k, v in value.items():

@@ -153,3 +153,27 @@ def compare(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tole
         differs = differs | ~((F.abs(x - y) <= tolerance) | (x.isNull() & y.isNull())) | (x.isNull() != y.isNull())
     kind = F.when(F.col("a").isNull(), "only_b").when(F.col("b").isNull(), "only_a").when(differs, "differs")
     return both.select(*keys, kind.alias("kind")).where("kind is not null")
+
+
+def partitions(spark, root: str, by: list[str]) -> DataFrame:
+    """The partitions of a table of files: their columns, once each."""
+    return spark.read.parquet(root).select(*by).distinct()
+
+
+def fingerprint(spark, path: str, version: str = "") -> DataFrame:
+    """(fingerprint, n_files): a hash of a version and of every file's path, size and time; contents are not read.
+
+    File hashes are summed up in lanes, so no task sees all of them. Equal fingerprints mean that
+    what was built from the files can be used again.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+    return version_of(files, ["path"]).select(F.sha2(F.concat(F.lit(version + ":"), "version"), 256).alias("fingerprint"), F.col("n_rows").alias("n_files"))
+
+
+def compare_trees(reference: dict[str, DataFrame], candidate: dict[str, DataFrame], keys: dict[str, list[str]], tolerance: float) -> dict[str, object]:
+    """Of each table name: ``only_reference``, ``only_candidate``, or the rows that ``compare`` finds to differ."""
+    out: dict[str, object] = {n: "only_reference" for n in reference if n not in candidate} | {n: "only_candidate" for n in candidate if n not in reference}
+    for n in reference.keys() & candidate.keys():
+        values = [c for c in reference[n].columns if c not in keys[n]]
+        out[n] = compare(reference[n], candidate[n], keys[n], values, tolerance)
+    return out

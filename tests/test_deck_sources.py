@@ -66,7 +66,7 @@ def test_runs_guides_games_and_pages(spark):
     source = d.DECKS["isotropic"]
     known = {"name": spark.createDataFrame([("Copper", "c")], "id string, card_id string")}
     assert [(r.source_id, r.cards) for r in d.decks_from(d.entries(games, source), source, known, "?").collect()] == [("g:2", ["c"] * 3)]
-    page = '<ul><li class="card-item"><div class="card-name"><span>3x</span> Herald of\\n  Triumph (blu)</div></li><li><div class="card-name"><span>1x</span> Sword</div></li></ul>'
+    page = '<ul><li class="card-item"><div class="card-name"><span>3x</span> Herald of\n  Triumph (blu)</div></li><li><div class="card-name"><span>1x</span> Sword</div></li></ul>'
     assert {k: [(n, name) for n, name, *_ in v] for k, v in lines_of(d.list_pages(spark.createDataFrame([("s", page)], "slug string, html string")), "fabtcg_decklists").items()} == {"s": [(3, "Herald of Triumph"), (1, "Sword")]}
     meta = spark.createDataFrame([("h", json.dumps({"deckInfo": {"heroFormat": "Briar"}, "cards": {"red": [{"name": " Bolt ", "count": 2, "pitch": "1"}]}})), ("i", json.dumps({"deckInfo": {}}))], "hash string, value string")
     meta = meta.select("hash", d.F.from_json("value", "deckInfo struct<heroFormat:string>, cards map<string,array<struct<name:string,count:int,pitch:string>>>").alias("deck"))
