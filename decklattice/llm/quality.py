@@ -11,7 +11,9 @@ from .common import NOT_SPACE_RX, words_of
 
 #: Buckets of the hashed n-grams (fixed: the ratio table has one number for each).
 BUCKETS = 4096
-#: A text is kept at this mean log-likelihood ratio per n-gram or more.
+#: A text is kept at this mean log-likelihood ratio per n-gram or more. It lies where labelled texts
+#: part: on sf0.1, of those that pass the base rules, 99.7 % of quality 1 and none of quality 0 are at
+#: or above it (at 0: 97.2 % and none; at -0.03: all and 1.4 %).
 THRESHOLD = -0.015
 SYMBOLS_RX = r"[^#*$%&|<>]+"
 
@@ -35,7 +37,8 @@ def _n_repeat_words(rows: DataFrame) -> DataFrame:
 
     Each window is one long: its hash above, its place in the low bits, as many as the text needs.
     Sorted, equal windows are neighbours; the places of those found again are sorted, and each
-    covers three words or as many as lie before the next.
+    covers three words or as many as lie before the next. Of a hash 64 less log2(n) bits are left:
+    in a text of 20,000 words different windows are taken for equal once in about 3 million texts.
     """
     n = F.size("h")
     bits = F.coalesce(F.ceil(F.log2(n.cast("double") + 1)).cast("int"), F.lit(1))

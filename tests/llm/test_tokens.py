@@ -43,6 +43,15 @@ def test_chunks_give_the_ids_of_the_whole_text(chunk, overlap):
     assert ids == t.encode(text, add_special_tokens=False).ids and widened > 0
 
 
+def test_huge_texts_at_production_parameters(spark):
+    t, rng = encoders.load(WORD), random.Random(8)
+    words = ["".join(rng.choice("abcdeéß9'!") for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    texts = [" ".join(rng.choice(words) for _ in range(30_000)), "\n".join(rng.choice(words) for _ in range(9_300)), "x" * 70_000 + " y", "<|endoftext|> " * 6000]
+    assert all(len(x) > 65_536 for x in texts)
+    out = token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORD).collect()
+    assert {r.doc_id: r.n_tokens for r in out} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+
+
 def test_pieces_equal_the_library():
     t, e, rng = encoders.load(BYTE), encoders.PieceEncoder(BYTE), random.Random(6)
     texts = [x or "" for x in TEXTS] + ["".join(rng.choice([" ", "  ", "\n", "a", "é", "9", "'s", "!", "\t", "Th", "'", " ", "漢"]) for _ in range(rng.randint(0, 60))) for _ in range(500)]
