@@ -9,10 +9,10 @@ import re
 
 import numpy as np
 
-#: Pieces that one process keeps in each of two generations, and the longest that it keeps.
-KEPT_PIECES, KEPT_CHARS = 450_000, 64
+#: Pieces, or words in arrays, that one process keeps in each of two generations, and the longest that it keeps.
+KEPT_PIECES, KEPT_WORDS, KEPT_CHARS = 350_000, 600_000, 64
 #: Characters of the texts whose words are looked up together.
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 6_000_000
 #: Fixed value: how the vocabulary writes a space.
 SPACE_TOKEN = "Ġ"
 #: Only in texts of these characters is every word surely encoded by itself.
@@ -61,6 +61,58 @@ class Kept:
         return out
 
 
+class WordTable:
+    """Token ids of words, kept in Arrow and numpy arrays: a new and an old generation, as in ``Kept``.
+
+    The new one comes first; words that are found in the old one, and new ones, are added to it.
+    """
+
+    def __init__(self, encode, dtype: str):
+        import pyarrow as pa
+
+        self.encode, self.dtype = encode, dtype
+        self.words, self.flat, self.size, self.n_new = pa.array([], pa.large_string()), np.empty(0, dtype), np.empty(0, np.int64), 0
+
+    def find(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): where in ``ids`` those of each of the different words are."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(at < 0)
+        encoded = self.encode(words.take(pa.array(missing)).to_pylist())
+        width = np.dtype(self.dtype).itemsize
+        more = np.fromiter(map(len, encoded), np.int64, len(encoded)) // width
+        ids = np.concatenate((self.flat, np.frombuffer(b"".join(encoded), self.dtype)))
+        sizes = np.concatenate((self.size, more))
+        starts = np.cumsum(sizes) - sizes
+        n, where = len(self.size), at.copy()
+        where[missing] = n + np.arange(len(missing))
+        start, size = starts[where], sizes[where]
+        short = pc.less_equal(pc.binary_length(words), 4 * KEPT_CHARS).to_numpy(zero_copy_only=False)
+        self._add(words, np.flatnonzero(((at < 0) | (at >= self.n_new)) & short), ids, start, size)
+        return ids, start, size
+
+    def _add(self, words, own: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        import pyarrow as pa
+
+        if not len(own):
+            return
+        new, old = slice(0, self.n_new), slice(self.n_new, None)
+        at = int(self.size[new].sum())
+        flat_new, flat_old, size_new, size_old = self.flat[:at], self.flat[at:], self.size[new], self.size[old]
+        words_new, words_old = self.words.slice(0, self.n_new), self.words.slice(self.n_new)
+        if self.n_new + len(own) > KEPT_WORDS:
+            flat_old, size_old, words_old = flat_new, size_new, words_new
+            flat_new, size_new, words_new = flat_new[:0], size_new[:0], words_new.slice(0, 0)
+        n = size[own]
+        ends = np.cumsum(n)
+        added = ids[np.repeat(start[own] - (ends - n), n) + np.arange(int(n.sum()))]
+        self.words = pa.concat_arrays([words_new, words.take(pa.array(own)), words_old])
+        self.flat, self.size = np.concatenate((flat_new, added, flat_old)), np.concatenate((size_new, n, size_old))
+        self.n_new = len(size_new) + len(own)
+
+
 class PieceEncoder:
     """Token ids of whole texts by a byte-level tokenizer file, as little-endian bytes.
 
@@ -76,7 +128,7 @@ class PieceEncoder:
         self.tokenizer, self.dtype = load(path), dtype
         special = _special(path)
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.kept = Kept(self._words)
+        self.table = WordTable(self._words, dtype)
         self.feed = self._ids(["\n"])[0]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -132,21 +184,18 @@ class PieceEncoder:
         # a word has its line feed with it, and each text one before it that is taken off again
         lists = pc.split_pattern(pc.replace_substring(pa.array(["\n" + texts[k] for k in plain], pa.large_string()), "\n", " \n"), " ")
         coded = lists.values.dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, at = coded.dictionary, coded.indices.to_numpy()
         bounds = lists.offsets.to_numpy()
-        del lists, coded
         odd = np.zeros(len(words) + 1, bool)
         for w in ("", "\n"):  # white space next to white space; every text begins with one empty piece
-            if w in words:
-                odd[words.index(w)] = True
+            odd[pc.index(words, w).as_py()] = True  # -1, the last place, where there is none
+        odd[-1] = False
         inner = odd[at]
         inner[bounds[:-1]] = False
         hard = np.add.reduceat(np.append(inner, False), bounds[:-1]) > 0 if len(plain) else np.zeros(0, bool)
-        ids = self.kept.all(words)
-        width = np.dtype(self.dtype).itemsize
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
-        start = np.cumsum(size) - size
-        flat, n = np.frombuffer(b"".join(ids), self.dtype), size[at]
+        flat, start, size = self.table.find(words)
+        del lists, coded
+        width, n = np.dtype(self.dtype).itemsize, size[at]
         ends = np.cumsum(n)
         raw = flat[np.repeat(start[at] - (ends - n), n) + np.arange(int(n.sum()))].tobytes()
         ends = np.append(0, ends)[bounds] * width
