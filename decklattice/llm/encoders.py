@@ -1,4 +1,4 @@
-"""Tokenizers as workers use them: one per process, with the encodings of frequent pieces kept."""
+"""Tokenizers as workers use them: one per process, with the encodings of frequent words kept."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ import re
 
 import numpy as np
 
-#: Pieces, or words in arrays, that one process keeps in each of two generations, and the longest that it keeps.
-KEPT_PIECES, KEPT_WORDS, KEPT_CHARS = 350_000, 600_000, 64
+#: Words that one process keeps in each of two generations, and the longest that it keeps.
+KEPT_WORDS, KEPT_CHARS = 600_000, 64
 #: Characters of the texts whose words are looked up together.
 BATCH_CHARS = 6_000_000
 #: Fixed value: how the vocabulary writes a space.
@@ -35,36 +35,11 @@ def _special(path: str) -> list[str]:
         return [x["content"] for x in json.load(f).get("added_tokens", [])]
 
 
-class Kept:
-    """What pieces were encoded to: a new and an old generation, so that frequent pieces stay."""
-
-    def __init__(self, encode):
-        self.encode, self.new, self.old = encode, {}, {}
-
-    def all(self, pieces: list) -> list:
-        """What each of the different pieces is encoded to."""
-        out = list(map(self.new.get, pieces))
-        missing = [k for k, v in enumerate(out) if v is None]
-        if not missing:
-            return out
-        if len(self.new) + len(missing) > KEPT_PIECES:
-            self.old, self.new = self.new, {}
-        again = list(map(self.old.get, [pieces[k] for k in missing])) if self.old else [None] * len(missing)
-        found = [(k, v) for k, v in zip(missing, again) if v is not None]
-        missing = [k for k, v in zip(missing, again) if v is None]
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            found += zip(some, self.encode([pieces[k] for k in some]))
-        for k, v in found:
-            out[k] = v
-        self.new.update((pieces[k], v) for k, v in found if len(pieces[k]) <= KEPT_CHARS)
-        return out
-
-
 class WordTable:
-    """Token ids of words, kept in Arrow and numpy arrays: a new and an old generation, as in ``Kept``.
+    """Token ids of words, kept in Arrow and numpy arrays: a new and an old generation, so that frequent ones stay.
 
-    The new one comes first; words that are found in the old one, and new ones, are added to it.
+    The new one comes first; words that are found in the old one, and new ones, are added to it. When
+    it is full it becomes the old one.
     """
 
     def __init__(self, encode, dtype: str):
@@ -226,13 +201,25 @@ class WordCounter:
 
     def __init__(self, path: str, chunk: int, overlap: int):
         self.tokenizer, self.chunk, self.overlap = load(path), chunk, overlap
-        self.kept = Kept(lambda words: [len(e.ids) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)])
+        self.table = WordTable(self._zeros, "<u1")
+
+    def _zeros(self, words: list[str]) -> list[bytes]:
+        """A zero for each token of a word: the table counts them."""
+        return [bytes(len(e.ids)) for at in range(0, len(words), 20_000) for e in self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False)]
 
     def counts(self, texts: list[str]) -> list[int]:
-        split = [t.encode().split() if len(t) <= self.chunk else None for t in texts]
-        words = list(set().union(*(w for w in split if w)))
-        get = dict(zip(words, self.kept.all(words))).__getitem__
-        return [len(resync_ids(self.tokenizer, t, self.chunk, self.overlap)[0]) if w is None else sum(map(get, w)) for t, w in zip(texts, split)]
+        """The number of tokens of each text; short ones are split into words together."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        short = [k for k, t in enumerate(texts) if len(t) <= self.chunk]
+        lists = pc.ascii_split_whitespace(pa.array([texts[k] for k in short], pa.large_string()))
+        coded = lists.values.dictionary_encode()
+        _, _, size = self.table.find(coded.dictionary)
+        ends = np.append(0, np.cumsum(size[coded.indices.to_numpy()]))
+        n = np.diff(ends[lists.offsets.to_numpy()]) if short else np.empty(0, np.int64)
+        out = dict(zip(short, n.tolist()))
+        return [out[k] if k in out else len(resync_ids(self.tokenizer, t, self.chunk, self.overlap)[0]) for k, t in enumerate(texts)]
 
 
 @functools.lru_cache(maxsize=1)

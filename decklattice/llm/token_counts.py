@@ -17,8 +17,8 @@ def _counts(path: str, chunk: int, overlap: int, limit: int):
 
         counter = word_counter(path, chunk, overlap)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 n = counter.counts(texts)
                 yield pa.RecordBatch.from_arrays(
