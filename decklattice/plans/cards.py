@@ -99,7 +99,7 @@ def card_lookup_folded_name(t: Tables):
     return t.part.select("p_partkey", scalars.fold_name(F.col("p_name")).alias("folded"))
 
 
-@query("card_visible_tier")
+@query("card_visible_tier", "SELECT p_partkey FROM part WHERE CAST('0x' || substr(sha256('holdout:' || p_partkey::VARCHAR), 9, 8) AS BIGINT) < 3865470566")
 def card_visible_tier(t: Tables):
     from ..operators import sampling
 

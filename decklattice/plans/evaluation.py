@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, scalars
 from ..operators import decks, losses, sampling, views
 from ..operators import similarity as sim
+from .games import PICK, picks
 from .registry import Tables, query
 
 PAIRS = "WITH d AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), x AS (SELECT a.l_partkey AS a, b.l_partkey AS b, count(*)::DOUBLE AS weight FROM d a JOIN d b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY 1, 2)"
@@ -88,7 +89,8 @@ def held_out_cards(t: Tables):
     return sampling.held_out(t.lineitem, "h", "l_orderkey", "l_partkey", 7, 0.001).withColumn("decoys", F.array_join("decoys", ","))
 
 
-@query("staple_thinning")
+@query("staple_thinning", """WITH p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), n AS (SELECT count(DISTINCT l_orderkey) AS total FROM p), f AS (SELECT l_partkey, count(*)::DOUBLE / max(total) AS df FROM p, n GROUP BY 1)
+SELECT l_orderkey, l_partkey FROM p JOIN f USING (l_partkey) WHERE CAST('0x' || substr(sha256('thin:' || l_orderkey::VARCHAR || ':' || l_partkey::VARCHAR), 9, 8) AS BIGINT) / 4294967296.0::DOUBLE < least(1.0::DOUBLE, sqrt(0.0005::DOUBLE / df))""")
 def staple_thinning(t: Tables):
     freq = sampling.document_frequency(t.lineitem, "l_orderkey", "l_partkey")
     return sampling.thinned(t.lineitem.select("l_orderkey", "l_partkey").distinct(), freq, "thin", "l_orderkey", "l_partkey", 0.0005)
@@ -105,12 +107,16 @@ def spread_order(t: Tables):
     return sampling.spread_order(1000, 37, 7, t._spark)
 
 
-@query("balanced_draws")
+@query("balanced_draws", """WITH n AS (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY sha256('b:' || p_partkey::VARCHAR), p_partkey) AS rn FROM part),
+g AS (SELECT p_type, count(*) AS n, row_number() OVER (ORDER BY p_type) - 1 AS g, count(*) OVER () AS groups FROM part GROUP BY 1),
+d AS (SELECT range AS draw, CAST('0x' || substr(sha256('bg:' || range::VARCHAR), 9, 8) AS BIGINT) AS x, CAST('0x' || substr(sha256('bi:' || range::VARCHAR), 9, 8) AS BIGINT) AS y FROM range(500))
+SELECT draw, p_type, p_partkey FROM d JOIN g ON g.g = d.x % g.groups JOIN n USING (p_type) WHERE rn = y % n + 1""")
 def balanced_draws(t: Tables):
     return sampling.balanced_draws(t.part.select("p_type", "p_partkey"), "b", "p_type", "p_partkey", 500)
 
 
-@query("weighted_choice")
+@query("weighted_choice", """SELECT p_partkey, CASE WHEN u < 0.2::DOUBLE THEN 'keep' WHEN u < 0.8::DOUBLE THEN 'mask' ELSE 'shuffle' END AS mod
+FROM (SELECT p_partkey, CAST('0x' || substr(sha256('w:' || p_partkey::VARCHAR), 9, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM part)""")
 def weighted_choice(t: Tables):
     table = t._spark.createDataFrame([("mask", 3.0), ("keep", 1.0), ("shuffle", 1.0)], "mod string, w double")
     return sampling.weighted_choice(t.part.select("p_partkey"), table, "w", "p_partkey", "mod", "w")
@@ -168,15 +174,15 @@ def view_deck(t: Tables):
     return out.withColumn("cards", F.array_join("cards", ","))
 
 
-@query("view_options")
+@query("view_options", f"""WITH k AS ({PICK}), x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey::VARCHAR, picked) - 1 AS place FROM k),
+p AS (SELECT l_orderkey, arg_min(l_partkey, place) AS part FROM x WHERE picked GROUP BY 1) SELECT l_orderkey, min(place) AS pick_index FROM x JOIN p USING (l_orderkey) WHERE l_partkey = part GROUP BY 1""")
 def view_options(t: Tables):
-    from .games import picks
-
     rows = decks.options_and_pick(picks(t), ["l_orderkey"], "l_partkey", "l_linenumber", F.col("picked"))
     return views.option_view(rows, "options", "pick").select("l_orderkey", "pick_index")
 
 
-@query("view_deck_pairs")
+@query("view_deck_pairs", """WITH p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY sha256('p:' || l_partkey::VARCHAR), l_partkey) AS r FROM p)
+SELECT a.l_orderkey, a.l_partkey AS a, b.l_partkey AS b FROM s a JOIN s b USING (l_orderkey) WHERE a.r <= 4 AND b.r <= 4 AND a.l_partkey <> b.l_partkey""")
 def view_deck_pairs(t: Tables):
     return views.same_deck_pairs(t.lineitem.select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey", 4, "p")
 
@@ -193,7 +199,9 @@ def rounds_best(t: Tables):
     return views.best_round(r, "name", "loss")
 
 
-@query("rounds_saturated")
+@query("rounds_saturated", """WITH r AS (SELECT l_suppkey AS name, l_linenumber AS round, avg(l_discount) AS loss FROM lineitem GROUP BY 1, 2),
+b AS (SELECT *, coalesce(loss < min(loss) OVER (PARTITION BY name ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 0.001, true) AS better FROM r)
+SELECT name, round, count(*) OVER w = 2 AND NOT bool_or(better) OVER w AS saturated FROM b WINDOW w AS (PARTITION BY name ORDER BY round ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)""")
 def rounds_saturated(t: Tables):
     r = t.lineitem.groupBy(F.col("l_suppkey").alias("name"), F.col("l_linenumber").alias("round")).agg(F.avg("l_discount").alias("loss"))
     return views.saturated(r, "name", "loss", 2, 0.001)

@@ -154,7 +154,13 @@ def deck_labels_by_content(t: Tables):
     return bags.select("l_orderkey", F.array_join("cards", ",").alias("cards")).join(labels, "l_orderkey")
 
 
-@query("deck_uuids")
+BAGS = """SELECT l_orderkey, list_sort(list(l_partkey::VARCHAR)) AS cards FROM lineitem GROUP BY 1"""
+#: The version 5 identifier of a bag: the same bytes as the engine's, written out.
+DECK_UUID = f"""SELECT *, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (CAST('0x' || substr(h, 17, 1) AS INT) % 4) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS deck_uuid
+FROM (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(array_to_string(cards, ','))) AS h FROM ({BAGS}))"""
+
+
+@query("deck_uuids", f"SELECT l_orderkey, deck_uuid FROM ({DECK_UUID})")
 def deck_uuids(t: Tables):
     return decks.decks_of(t.lineitem, ["l_orderkey"], "l_partkey").select("l_orderkey", "deck_uuid")
 
@@ -165,7 +171,8 @@ def deck_card_counts(t: Tables):
     return c.select("l_orderkey", F.array_join(F.transform("entries", lambda e: F.concat_ws("x", e["card"].cast("string"), e["n"].cast("string"))), ",").alias("entries"))
 
 
-@query("deck_masked_card")
+@query("deck_masked_card", f"""WITH d AS ({DECK_UUID}), t AS (SELECT l_orderkey, cards, arg_min(card, sha256('mask:' || deck_uuid || ':' || card)) AS target_card FROM (SELECT l_orderkey, cards, deck_uuid, unnest(list_distinct(cards)) AS card FROM d) GROUP BY ALL)
+SELECT l_orderkey, target_card, array_to_string(list_concat(cards[:list_position(cards, target_card) - 1], cards[list_position(cards, target_card) + 1:]), ',') AS rest FROM t""")
 def deck_masked_card(t: Tables):
     return decks.masked_card(decks.decks_of(t.lineitem, ["l_orderkey"], "l_partkey"), "mask").select("l_orderkey", "target_card", F.array_join("rest", ",").alias("rest"))
 
