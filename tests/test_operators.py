@@ -138,3 +138,19 @@ def test_stream_counts_each_file_once(spark, tmp_path):
         for _ in range(2):
             counts.count_stream(spark, source, "card string, won boolean", spec, sink, state)
     assert {r.card: (round(r.label, 6), r.sample_count) for r in counts.current(spark, sink, spec).collect()} == {"x": (0.666667, 3), "y": (0.0, 1)}
+
+
+def test_decoys_come_by_weight_and_differ_between_decks(spark):
+    from decklattice.operators import sampling
+
+    ranges = sampling.weighted_ranges(spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 0.0), ("d", 4.0)], "card string, weight double"), "card", "weight", bins=16).collect()
+    width = {r.card: r.hi - r.lo for r in ranges}
+    assert width == {"a": 0.125, "b": 0.375, "d": 0.5} and {r.bin for r in ranges} == set(range(16))
+    copies = spark.range(400).selectExpr("id AS deck", "explode(array('x', concat('y', id % 40), concat('z', id % 5))) AS card")
+    out = sampling.held_out(copies, "s", "deck", "card", 3, 10.0).collect()
+    assert len(out) == 400 and all(len(set(r.decoys)) == 3 for r in out) and len({tuple(r.decoys) for r in out}) > 200
+    assert all(c not in ("x", f"y{r.deck % 40}", f"z{r.deck % 5}") for r in out for c in r.decoys)
+    z = sum(c[0] == "z" for r in out for c in r.decoys) / 1200
+    assert 0.4 < z < 0.75  # 4 of 5 cards z with a fifth of the decks each, against 39 of 40 cards y
+    again = {r.deck: r.decoys for r in sampling.held_out(copies.repartition(7), "s", "deck", "card", 3, 10.0).collect()}
+    assert again == {r.deck: r.decoys for r in out}
