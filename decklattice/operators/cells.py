@@ -30,7 +30,7 @@ class View:
     cell: str
     metric: str
     label: str = "label"
-    key: str = "nocab_uuid"
+    key: str = "card_uuid"
     groups: tuple[Group, ...] = ()
     classes: tuple[str, ...] = ()
     cap: float | None = None
@@ -62,7 +62,7 @@ def _other_than(column: str):
     return lambda c: ~c.eqNullSafe(F.col(column))
 
 
-def seen_groups(rows: DataFrame, groups: tuple[Group, ...], cards: DataFrame, decks: DataFrame | None, key: str = "nocab_uuid") -> DataFrame:
+def seen_groups(rows: DataFrame, groups: tuple[Group, ...], cards: DataFrame, decks: DataFrame | None, key: str = "card_uuid") -> DataFrame:
     """Rows with ``g0``, ``g1``, ...: of each group the cards that ``cards`` has, copies and order kept.
 
     All groups of a row meet the cards in one join and come back in one aggregation. Equal rows are

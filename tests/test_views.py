@@ -14,7 +14,7 @@ ALL = [(s, n) for s, views in VIEWS.items() for n in views]
 
 @pytest.fixture(scope="module")
 def cards(spark):
-    return spark.createDataFrame([(c, '{"name":"%s","type":"unit"}' % c) for c in "abcd"], "nocab_uuid string, raw_content string")
+    return spark.createDataFrame([(c, '{"name":"%s","type":"unit"}' % c) for c in "abcd"], "card_uuid string, raw_content string")
 
 
 @pytest.fixture(scope="module")
@@ -90,11 +90,11 @@ def test_options_contexts_and_skips(spark, cards, decks):
 
 def test_card_cells(spark, cards):
     curve = VIEWS["drafts"]["PickNumberDecayCurveDojo"]
-    rows = spark.createDataFrame([("a", [0.5, 0.25, None], [10, 9, 50]), ("b", [0.1], [1]), ("x", [0.1], [100])], "nocab_uuid string, take_rate_by_pick_number array<double>, sample_count_by_pick_number array<int>")
-    assert {r.nocab_uuid: r.label for r in build_view(curve, rows, cards).collect()} == {"a": {0: 0.5}}
-    kind = build_view(VIEWS["gwent_cards"]["TypeMaskDojo"], spark.createDataFrame([("a", "unit"), ("b", "weird"), ("c", None)], "nocab_uuid string, label string"), cards).collect()
-    assert [(r.nocab_uuid, r.label, r.raw_content) for r in kind] == [("a", "unit", '{"name":"a","type":"[MASK]"}')]
-    many = build_view(VIEWS["mtg_cards"]["ColorsMaskDojo"], spark.createDataFrame([("a", [True, False, False, True, False])], "nocab_uuid string, labels array<boolean>"), cards).first()
+    rows = spark.createDataFrame([("a", [0.5, 0.25, None], [10, 9, 50]), ("b", [0.1], [1]), ("x", [0.1], [100])], "card_uuid string, take_rate_by_pick_number array<double>, sample_count_by_pick_number array<int>")
+    assert {r.card_uuid: r.label for r in build_view(curve, rows, cards).collect()} == {"a": {0: 0.5}}
+    kind = build_view(VIEWS["gwent_cards"]["TypeMaskDojo"], spark.createDataFrame([("a", "unit"), ("b", "weird"), ("c", None)], "card_uuid string, label string"), cards).collect()
+    assert [(r.card_uuid, r.label, r.raw_content) for r in kind] == [("a", "unit", '{"name":"a","type":"[MASK]"}')]
+    many = build_view(VIEWS["mtg_cards"]["ColorsMaskDojo"], spark.createDataFrame([("a", [True, False, False, True, False])], "card_uuid string, labels array<boolean>"), cards).first()
     assert many.label == {"W": 1, "U": 0, "B": 0, "R": 1, "G": 0}
 
 
@@ -105,6 +105,6 @@ def test_pairs_are_swapped_and_games_balanced(spark, cards, decks):
     out = cells.swapped(v, built.withColumn("label", F.col("label")), "s").collect()
     assert len(out) == 63 and {(tuple(r.g0), r.label) for r in out} <= {(("a", "b", "b"), 1), (("c", "a"), 0), (("c", "a"), 0), (("d", "a", "c"), 1)}
     tiers = VIEWS["cross_game"]["RarityTierDojo"]
-    rows = spark.createDataFrame([(c, g, "tier_1") for c, g in (("a", "mtg"), ("b", "mtg"), ("c", "mtg"), ("d", "gwent"))], "nocab_uuid string, source_game string, label string")
+    rows = spark.createDataFrame([(c, g, "tier_1") for c, g in (("a", "mtg"), ("b", "mtg"), ("c", "mtg"), ("d", "gwent"))], "card_uuid string, source_game string, label string")
     even = cells.balanced(tiers, build_view(tiers, rows, cards), "s").groupBy("source_game").count().collect()
     assert {r.source_game: r["count"] for r in even} == {"mtg": 1, "gwent": 1}
