@@ -15,6 +15,8 @@ BUCKETS = 4096
 #: sf0.1, of labelled texts that pass the base rules, 99.7 % of quality 1 and none of quality 0 reach it
 #: (0: 97.2 % and none; -0.03: all and 1.4 %). The ratio is counted from the same texts of quality 1.
 THRESHOLD = -0.015
+#: Trusted ids up to this number (some 50 MB) are broadcast.
+MOST_BROADCAST = 1_000_000
 SYMBOLS_RX = r"[^#*$%&|<>]+"
 
 
@@ -69,13 +71,15 @@ def _ngrams(h: str) -> Column:
 def ratio_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """log(p_target / p_raw) of each bucket: target are texts of quality 1, raw are all texts.
 
-    The raw counts cover every document, the target every one that is labelled 1 and never 0. Only
-    the BUCKETS sums come to the driver. Add-one smoothing; without trusted texts every ratio is 0.
+    The raw counts cover every document, the target every one that is labelled 1 and never 0. Up to
+    MOST_BROADCAST trusted ids go to every task, so that no text is moved; with more of them texts and
+    ids are joined in a shuffle, which gives the same counts. Only the BUCKETS sums come to the driver. Add-one smoothing; without trusted texts every ratio is 0.
     """
     trusted = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
     trusted = trusted.select("doc_id", F.lit(1).alias("target"))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    flagged = slim.join(trusted, "doc_id", "left")
+    few = trusted.count() <= MOST_BROADCAST
+    flagged = slim.join(F.broadcast(trusted) if few else trusted, "doc_id", "left")
     h = flagged.select("target", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
     sums = h.select("target", F.explode(_ngrams("h")).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("target").alias("target"))
     target, raw = [1] * BUCKETS, [1] * BUCKETS

@@ -75,3 +75,11 @@ def test_no_python_in_the_plan(spark):
 def test_every_trusted_text_counts(spark):
     docs = spark.range(20_400).selectExpr("id AS doc_id", "concat('w', id) AS text")
     assert set(q.ratio_table(docs, docs.selectExpr("doc_id", "1 AS quality"))) == {0.0}
+
+
+def test_counts_are_the_same_with_and_without_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 150, t, "x") for i, t in enumerate(texts())] + [(None, "a b c", "x")], SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 150, 2)] + [(0, 0), (None, 1)], "doc_id long, quality int")
+    few = q.ratio_table(docs, labels)
+    monkeypatch.setattr(q, "MOST_BROADCAST", 0)
+    assert q.ratio_table(docs, labels) == few and any(few)
