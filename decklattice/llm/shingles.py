@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
-from .stars import BLOCK, difference, linked_classes
+from .common import discard, materialise, worker_state
+from .stars import BLOCK, difference, linked, linked_classes
+
+#: Gives pairs (a, b) of nodes (node, fp, ...).
+Candidates = Callable[[DataFrame], DataFrame]
 
 #: Texts (at about this number) in which shingles are counted, and common ones that are kept. Both
 #: only set the order in which prefixes are filled, so they change the work and never the result.
@@ -86,23 +91,32 @@ def sketch(hashes: np.ndarray) -> tuple[int, int]:
     return packed[0] - (packed[0] >> 63 << 64), packed[1] - (packed[1] >> 63 << 64)
 
 
+def set_print(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint of a set: the majority bits of its hashes, signed; 0 of none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        ones += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def _prints(slim: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, key, node: a hash of the shingle set, n: its size, low, high: its sketch, prefix) of every row."""
+    """(doc_id, key, node: a hash of the shingle set, n: its size, fp: its fingerprint, low, high: its sketch, prefix) of every row."""
     held = slim.sparkSession.sparkContext.broadcast(_common(slim, words))
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
+        worker_state(None, None)
         for b in batches:
             sets = [shingle_hashes(t.as_py(), words) for t in b.column(2)]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
             first = [prefix(s, *held.value, similarity) for s in sets]
             low, high = zip(*map(sketch, sets)) if sets else ((), ())
-            columns = [b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "node", "n", "low", "high", "prefix"])
+            columns = [b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array(list(map(set_print, sets)), pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "node", "n", "fp", "low", "high", "prefix"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, key bigint, node bigint, n int, low bigint, high bigint, prefix array<bigint>")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, key bigint, node bigint, n int, fp bigint, low bigint, high bigint, prefix array<bigint>")
 
 
 def _compared(nodes: DataFrame, slim: DataFrame, words: int):
@@ -129,37 +143,40 @@ def _compared(nodes: DataFrame, slim: DataFrame, words: int):
     return compared
 
 
-def shingle_classes(nodes: DataFrame, slim: DataFrame, words: int, similarity: float) -> DataFrame:
+def shingle_classes(nodes: DataFrame, slim: DataFrame, words: int, similarity: float, candidates: Candidates | None = None) -> DataFrame:
     """(node, root) of all nodes whose shingle sets have the similarity to another one's, or more.
 
-    Nodes that share a shingle of their prefixes are candidates, which loses none;
-    ``stars.linked_classes`` finds the links among them.
+    Pairs that ``candidates`` gives are compared exactly first. For what these lack, nodes that share
+    a shingle of their prefixes are candidates as well, which loses none; ``stars.linked_classes``
+    finds the links among them.
     """
+    compared = _compared(nodes, slim, words)
+    known = compared(candidates(nodes)).where(linked(similarity)).select("a", "b") if candidates else None
     postings = nodes.select("node", F.explode("prefix").alias("bucket"))
     shared = postings.groupBy("bucket").count().where("count > 1").select("bucket")
     members = postings.join(shared, "bucket").join(nodes.select("node", "n", "low", "high", "weight"), "node")
     members = materialise(members.select("bucket", "node", "n", "low", "high", "weight"), "shingle-members")
-    out = linked_classes(members, _compared(nodes, slim, words), similarity, VALUES)
+    out = linked_classes(members, compared, similarity, VALUES, known)
     discard(members)
     return out
 
 
-def shingle_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", candidates: Candidates | None = None) -> DataFrame:
     """(doc_id, component_id) of every row: texts link at a Jaccard similarity of ``similarity`` or more.
 
     The sets are those of their word shingles, A-Z lower-cased. Every pair at the similarity is
     linked, directly or by way of others, and no other one is, but for equal 64-bit hashes of
     different shingles and for pairs that ``stars.SCREEN_LOSS`` allows to be missed (1 in 100,000). component_id is
-    the smallest doc_id that links reach; texts without a word link with each other. A null id is
+    the smallest doc_id that links reach; ``candidates`` gives pairs of nodes (node, fp, ...) that are compared first; texts without a word link with each other. A null id is
     smallest only where a whole component has none; repeated rows stay; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
     prints = materialise(_prints(slim, words, similarity), "shingle-prints")
     first = lambda c: F.first(c).alias(c)
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.count(F.lit(1)).alias("weight"), first("n"), first("low"), first("high"), first("prefix"))
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.count(F.lit(1)).alias("weight"), first("n"), first("fp"), first("low"), first("high"), first("prefix"))
     nodes = materialise(nodes, "shingle-nodes")
-    root = shingle_classes(nodes, slim, words, similarity)
+    root = shingle_classes(nodes, slim, words, similarity, candidates)
     least = component_least(nodes, root)
     out = prints.select("doc_id", "node").join(least, "node", "left").select("doc_id", "component_id")
     return out

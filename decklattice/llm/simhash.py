@@ -279,13 +279,28 @@ def near_duplicates(docs: DataFrame, tau: int = 4, words: int = 4, id_col: str =
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def fingerprint_pairs(nodes: DataFrame, tau: int = 4) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp, ...) that connect all whose fingerprints are within ``tau`` bits.
+
+    Nodes of one fingerprint are paired with the smallest of them, and these by ``links``.
+    """
+    first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprint-nodes")
+    same = nodes.select("node", "fp").join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    of = lambda c: first.select(F.col("fp").alias("fp" + c), F.col("first").alias(c))
+    found = links(first.select("fp"), tau).toDF("fpa", "fpb")
+    return same.union(found.join(of("a"), "fpa").join(of("b"), "fpb").select("a", "b"))
+
+
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component of ``shingle_components``: that of the smallest id.
 
+    Candidates come from the fingerprints of the shingle sets, by the pigeonhole search of ``links``,
+    and are checked by their exact similarity. Similar texts whose fingerprints differ in more bits
+    are found by the shingles that they share.
     Rows that share this id with others of the component are settled by the hash of their text;
     rows without an id are all of their own and stay.
     """
-    found = shingle_components(docs, words, similarity, id_col, text_col).where("doc_id = component_id").select("doc_id").distinct()
+    found = shingle_components(docs, words, similarity, id_col, text_col, fingerprint_pairs).where("doc_id = component_id").select("doc_id").distinct()
     firsts = found.withColumnRenamed("doc_id", "__near_id")
     own = docs.columns
     from pyspark.sql import Window

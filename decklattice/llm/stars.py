@@ -59,12 +59,15 @@ def enough(common: Column, a: Column, b: Column, similarity: float) -> Column:
     return common * (1 + similarity) >= (a + b) * similarity - 1e-9
 
 
-def _linked(similarity: float) -> Column:
+def linked(similarity: float) -> Column:
     """Of a comparison (na, n_gone, n_come): sizes of a, of a without b, and of b without a."""
     common = F.col("na") - F.col("n_gone")
     return enough(common, F.col("na"), common + F.col("n_come"), similarity)
 
 
+_linked = linked
+
+
 def _in_blocks(rows: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
     """The rows twice, with ``block``: dealt out by hash, and repeated for each block of their key.
 
@@ -108,13 +111,14 @@ def _links_by_leader(star: DataFrame, classes: DataFrame, similarity: float) ->
     return out
 
 
-def linked_classes(members: DataFrame, compared: Callable[[DataFrame], DataFrame], similarity: float, values: int) -> DataFrame:
+def linked_classes(members: DataFrame, compared: Callable[[DataFrame], DataFrame], similarity: float, values: int, known: DataFrame | None = None) -> DataFrame:
     """(node, root), written, of every node that is similar to another one of a bucket.
 
     ``members``: (bucket, node, n, low, high, weight) of the nodes of buckets of several, n the size of
     the node's set (null: unknown), low and high its sketch of ``values`` signature values, weight how
     often it occurs. ``compared`` takes pairs (a, b) and returns them with na, n_gone, n_come, gone and
-    come: the size of a, the numbers and the hashes of elements that only a and only b has.
+    come: the size of a, the numbers and the hashes of elements that only a and only b has. ``known``
+    are links (a, b) that another search has found: they count, and their nodes are one class.
 
     The most frequent node leads a bucket: n comparisons for n nodes. Two nodes that were compared
     with the same leader are then tested by how each differs from it. A node that is far from the
@@ -136,17 +140,18 @@ def linked_classes(members: DataFrame, compared: Callable[[DataFrame], DataFrame
     led = led.where("node <> node0").select("bucket", "node", "n", "low", "high", F.col("node0").alias("leader"), near("", "0").alias("near"))
     led = materialise(led, "members")
     star = compared(led.where("near").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    edges = star.where(_linked(similarity)).select("a", "b")
+    edges = star.where(linked(similarity)).select("a", "b")
+    edges = edges.union(known) if known else edges
     classes = materialise(connected_components(edges), "classes")
     by_leader = _links_by_leader(star, classes, similarity)
-    known = star.select(F.col("a").alias("leader"), F.col("b").alias("node"), _linked(similarity).alias("linked"), F.col("gone").isNotNull().alias("kept"))
-    loose = led.join(known, ["leader", "node"], "left").where("not coalesce(linked, false)").withColumn("near", F.coalesce("kept", F.lit(False)))
+    led_pairs = star.select(F.col("a").alias("leader"), F.col("b").alias("node"), linked(similarity).alias("linked"), F.col("gone").isNotNull().alias("kept"))
+    loose = led.join(led_pairs, ["leader", "node"], "left").where("not coalesce(linked, false)").withColumn("near", F.coalesce("kept", F.lit(False)))
     mixed = loose.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bool_and("near").alias("all_near")).where("size > 1 and not all_near").select("bucket")
     loose = materialise(_named(loose.join(mixed, "bucket"), classes, "node").select("bucket", "node", "n", "low", "high", "near", "c"), "loose")
     left, right = (x.select("bucket", "block", *[F.col(c).alias(c + k) for c in ("node", "n", "low", "high", "near", "c")]) for k, x in zip("12", _in_blocks(loose, "bucket", "node")))
     met = left.join(right, ["bucket", "block"]).where((F.col("node1") < F.col("node2")) & (F.col("c1") != F.col("c2")) & ~(F.col("near1") & F.col("near2")) & near("1", "2"))
     far = compared(met.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct())
-    out = materialise(connected_components(edges.union(by_leader).union(far.where(_linked(similarity)).select("a", "b"))), "classes")
+    out = materialise(connected_components(edges.union(by_leader).union(far.where(linked(similarity)).select("a", "b"))), "classes")
     discard(led, star, classes, by_leader, loose, far)
     return out
 

@@ -99,3 +99,44 @@ def test_components_of_chains_stars_and_nothing(spark):
     want = {i: 1 for i in range(1, 201)} | {1000 + i: 1000 for i in range(300)} | {6000: 6000, 6001: 6000}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_fingerprint_pairs_connect_what_brute_force_connects(spark):
+    rng = random.Random(8)
+    prints = [rng.getrandbits(63) for _ in range(30)]
+    prints += [f ^ 1 << rng.randrange(63) for f in prints[:20]] + prints[:10]
+    rows = [(1000 - 7 * i, f) for i, f in enumerate(prints)]
+    pairs = simhash.fingerprint_pairs(spark.createDataFrame(rows, "node long, fp long"))
+    roots = {r.node: r.root for r in connected_components(pairs).collect()}
+    nodes = [n for n, _ in rows]
+    want = brute_components(nodes, prints, 4)
+    assert [roots.get(n, n) for n in nodes] == want
+
+
+def test_the_near_duplicate_stage_searches_by_fingerprints(spark, monkeypatch):
+    """Without shared shingles the fingerprints alone find near copies, and a pair below 0.8 is refused."""
+    from decklattice.llm import shingles
+
+    def unshared(*args):
+        return _prints(*args).withColumn("prefix", F.array(F.col("node")))
+
+    from pyspark.sql import functions as F
+
+    _prints = shingles._prints
+    monkeypatch.setattr(shingles, "_prints", unshared)
+    rng = random.Random(9)
+    base = ["w%d" % rng.randrange(5000) for _ in range(900)]
+    far = ["w%d" % rng.randrange(5000) for _ in range(900)]
+    rows = [(1, " ".join(base), "x"), (2, " ".join([*base[:-1], "new"]), "x"), (3, " ".join(far), "x")]
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()) == [1, 3]
+    monkeypatch.setattr(simhash, "links", lambda fps, tau=4: fps.crossJoin(fps.toDF("b")).where("fp < b").toDF("a", "b"))
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()) == [1, 3]
+
+
+def test_a_worker_keeps_one_state():
+    from decklattice.llm.common import worker_state
+
+    made = []
+    make = lambda x: lambda: made.append(x) or x
+    assert [worker_state(k, make(k)) for k in "aab"] == ["a", "a", "b"] and made == ["a", "b"]
+    assert worker_state(None, None) is None and worker_state("b", make("b")) == "b" and made == ["a", "b", "b"]
