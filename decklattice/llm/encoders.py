@@ -9,6 +9,8 @@ import re
 
 import numpy as np
 
+from .common import worker_state
+
 #: Words that one process keeps in each of two generations, and the longest that it keeps.
 KEPT_WORDS, KEPT_CHARS = 600_000, 64
 #: Characters of the texts whose words are looked up together.
@@ -222,16 +224,14 @@ class WordCounter:
         return [out[k] if k in out else len(resync_ids(self.tokenizer, t, self.chunk, self.overlap)[0]) for k, t in enumerate(texts)]
 
 
-@functools.lru_cache(maxsize=1)
 def piece_encoder(path: str, dtype: str) -> PieceEncoder:
     """The worker's encoder: one for all its tasks, as functions that are sent to it carry no state."""
-    return PieceEncoder(path, dtype)
+    return worker_state(("pieces", path, dtype), lambda: PieceEncoder(path, dtype))
 
 
-@functools.lru_cache(maxsize=1)
 def word_counter(path: str, chunk: int, overlap: int) -> WordCounter:
     """The worker's counter: one for all its tasks."""
-    return WordCounter(path, chunk, overlap)
+    return worker_state(("words", path, chunk, overlap), lambda: WordCounter(path, chunk, overlap))
 
 
 WHITE = frozenset(" \t\n\v\f\r")

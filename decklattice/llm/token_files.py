@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, small_batches
 
 #: Keys in a bucket of the index on average, and the slots tried for a group of keys at once.
 BUCKET_KEYS, TRIES = 1024, 64
@@ -164,7 +164,8 @@ class TokenStore:
         slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
         kind = slim.schema["doc_id"].dataType.simpleString()
         laid = slim.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-        laid.mapInArrow(_write_shards(root, tokenizer_path, end_id, dtype), _schema(kind)).write.parquet(f"{root}/entries")
+        with small_batches(spark):
+            laid.mapInArrow(_write_shards(root, tokenizer_path, end_id, dtype), _schema(kind)).write.parquet(f"{root}/entries")
         entries = spark.read.schema(_schema(kind)).parquet(f"{root}/entries")
         buckets = max(1, -(-entries.count() // BUCKET_KEYS))
         keyed = cls._keyed(entries, buckets)

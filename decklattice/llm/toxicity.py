@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_state
+
 #: Labelled documents of each class that a model is fitted on at most (taken by smallest hash).
 SAMPLE_PER_CLASS = 1000
 LANDMARKS, DIM_BITS, DECAY, SPAN = 192, 16, 0.5, 5
@@ -274,15 +276,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     return fit(sorted((r.toxic, list(map(sys.intern, r.spans))) for r in bags))
 
 
-_SCORERS: dict = {}
-
-
 def worker_scorer(value: tuple) -> Scorer:
     """The worker's scorer of a model: one for all its tasks. Tasks import it, as what is sent with them carries no state."""
-    if value[1:] not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[value[1:]] = Scorer(Model(*value))
-    return _SCORERS[value[1:]]
+    return worker_state(("scorer", *value[1:]), lambda: Scorer(Model(*value)))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
