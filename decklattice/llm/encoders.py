@@ -13,8 +13,10 @@ from .common import worker_state
 
 #: Words that one process keeps in each of two generations, and the longest that it keeps.
 KEPT_WORDS, KEPT_CHARS = 600_000, 64
+#: The same for words with their ids, which take more memory than counts do.
+KEPT_PIECES = 150_000
 #: Characters of the texts whose words are looked up together.
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 2_000_000
 #: Fixed value: how the vocabulary writes a space.
 SPACE_TOKEN = "Ġ"
 #: Only in texts of these characters is every word surely encoded by itself.
@@ -44,10 +46,10 @@ class WordTable:
     it is full it becomes the old one.
     """
 
-    def __init__(self, encode, dtype: str):
+    def __init__(self, encode, dtype: str, most: int = KEPT_WORDS):
         import pyarrow as pa
 
-        self.encode, self.dtype = encode, dtype
+        self.encode, self.dtype, self.most = encode, dtype, most
         self.words, self.flat, self.size, self.n_new = pa.array([], pa.large_string()), np.empty(0, dtype), np.empty(0, np.int64), 0
 
     def find(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +81,7 @@ class WordTable:
         at = int(self.size[new].sum())
         flat_new, flat_old, size_new, size_old = self.flat[:at], self.flat[at:], self.size[new], self.size[old]
         words_new, words_old = self.words.slice(0, self.n_new), self.words.slice(self.n_new)
-        if self.n_new + len(own) > KEPT_WORDS:
+        if self.n_new + len(own) > self.most:
             flat_old, size_old, words_old = flat_new, size_new, words_new
             flat_new, size_new, words_new = flat_new[:0], size_new[:0], words_new.slice(0, 0)
         n = size[own]
@@ -105,7 +107,7 @@ class PieceEncoder:
         self.tokenizer, self.dtype = load(path), dtype
         special = _special(path)
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.table = WordTable(self._words, dtype)
+        self.table = WordTable(self._words, dtype, KEPT_PIECES)
         self.feed = self._ids(["\n"])[0]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)

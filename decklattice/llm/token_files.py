@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_batches
+from .common import fresh_path, small_batches, worker_state
 
 #: Keys in a bucket of the index on average, and the slots tried for a group of keys at once.
 BUCKET_KEYS, TRIES = 1024, 64
@@ -127,6 +127,7 @@ BLOCK = "bucket bigint, n int, seeds binary, prints binary, shards binary, ats b
 def _build(pdf):
     import pandas as pd
 
+    worker_state(None, None)  # the encoder is not needed any more
     h = pdf["h"].to_numpy().view(np.uint64)
     seeds = build_block(h)
     at = np.argsort(slots_of(h, len(h), seeds), kind="stable")
@@ -235,6 +236,7 @@ def _read(root: str, dtype: str, what: str):
 
         import pyarrow as pa
 
+        worker_state(None, None)
         fs, path = _fs(root)
         width, name, f = np.dtype(dtype).itemsize, None, None
         for whole in batches:

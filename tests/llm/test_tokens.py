@@ -85,3 +85,15 @@ def test_index_is_minimal_and_perfect():
     for n in (1, 2, 5, 100, 3000):
         h = rng.integers(0, 2**64, n, dtype=np.uint64)
         assert sorted(slots_of(h, n, build_block(h))) == list(range(n))
+
+
+def test_an_encoder_keeps_a_bounded_number_of_words():
+    """Two workers, the heap and what the stages before left share an executor of the pipeline."""
+    e, t = encoders.PieceEncoder(BYTE), encoders.load(BYTE)
+    texts = [" ".join(f"{(k * 1000 + i) * 7919 % 999983:x}" for i in range(1000)) for k in range(700)]
+    for at in range(0, len(texts), 100):
+        got = e.encode_all(texts[at : at + 100])
+    assert len(e.table.words) <= 400_000
+    assert e.table.words.nbytes + e.table.flat.nbytes + e.table.size.nbytes < 16 << 20
+    assert np.frombuffer(got[-1], "<u2").tolist() == t.encode(texts[-1], add_special_tokens=False).ids
+    assert np.frombuffer(e.encode(texts[0]), "<u2").tolist() == t.encode(texts[0], add_special_tokens=False).ids
