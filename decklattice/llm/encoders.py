@@ -15,8 +15,8 @@ from .common import worker_state
 KEPT_WORDS, KEPT_CHARS = 600_000, 64
 #: The same for words with their ids, which take more memory than counts do.
 KEPT_PIECES = 150_000
-#: Characters of the texts whose words are looked up together.
-BATCH_CHARS = 2_000_000
+#: Characters of the texts whose words are looked up together: each look-up hashes all kept words anew.
+BATCH_CHARS = 4_000_000
 #: Fixed value: how the vocabulary writes a space.
 SPACE_TOKEN = "Ġ"
 #: Only in texts of these characters is every word surely encoded by itself.

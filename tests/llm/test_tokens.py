@@ -97,3 +97,13 @@ def test_an_encoder_keeps_a_bounded_number_of_words():
     assert e.table.words.nbytes + e.table.flat.nbytes + e.table.size.nbytes < 16 << 20
     assert np.frombuffer(got[-1], "<u2").tolist() == t.encode(texts[-1], add_special_tokens=False).ids
     assert np.frombuffer(e.encode(texts[0]), "<u2").tolist() == t.encode(texts[0], add_special_tokens=False).ids
+
+
+def test_kept_words_are_hashed_once_for_several_million_characters():
+    e, calls = encoders.PieceEncoder(BYTE), []
+    find = e.table.find
+    e.table.find = lambda words: calls.append(len(words)) or find(words)
+    texts = [f"some words of text {k} " * 200 for k in range(2000)]
+    got = e.encode_all(texts)
+    assert len(calls) <= 1 + sum(map(len, texts)) // 4_000_000
+    assert np.frombuffer(got[-1], "<u2").tolist() == encoders.load(BYTE).encode(texts[-1], add_special_tokens=False).ids
