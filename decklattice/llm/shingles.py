@@ -70,8 +70,11 @@ def _common(slim: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_py(), words))], ["h"])
 
     counts = texts.mapInArrow(run, "h bigint").groupBy("h").count().where("count > 1")
-    rows = counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()  # at most COMMON rows
-    h = np.array([r.h for r in rows], np.int64)
+    kept = materialise(counts.orderBy(F.desc("count"), "h").limit(COMMON), "common-shingles")  # an executor picks them, not the driver
+    rows = kept.toArrow()  # at most COMMON rows, as numbers: Row objects take twenty times their memory
+    discard(kept)
+    h, count = (rows.column(c).to_numpy() for c in ("h", "count"))
+    h = h[np.lexsort((h, -count))]
     order = np.argsort(h)
     return h[order], np.arange(len(h))[::-1][order]
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_state
+from .common import give_back, worker_state
 
 #: Labelled documents of each class that a model is fitted on at most (taken by smallest hash).
 SAMPLE_PER_CLASS = 1000
@@ -163,6 +163,12 @@ def _dense(spans: list[str]) -> np.ndarray:
     return out
 
 
+def _combined(factors: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """The sum of landmark rows times their factors, in doubles, some columns at a time: all at once would copy the rows."""
+    at = range(0, DIMS, DIMS // 32)
+    return np.concatenate([factors @ landmarks[:, i : i + DIMS // 32] for i in at]).astype(np.float32)
+
+
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, by accelerated gradient descent."""
     x1 = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
@@ -218,7 +224,8 @@ def fit(bags: list[tuple[int, list[str]]]) -> Model:
         phi = _features(spans, marks) @ root
         cost = np.array([times[x] for x in spans])
         w, offset = _svm(np.concatenate([phi, phi]), np.repeat([1.0, -1.0], len(spans)), np.concatenate([cost[:, 0], cost[:, 1]]))
-        weights = ((root @ w) @ marks).astype(np.float32)
+        weights = _combined(root @ w, marks)
+        del marks, phi
         model = Model(weights, offset, (), 0.0)
         margin = dict(zip(all_spans, model.margins(all_spans)))
         chosen = [[x for x in s if x in shown or margin[x] > 0.5] or [max(s, key=lambda x: (margin[x], x))] for s in pos]
@@ -273,7 +280,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = named.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text")
     bags = rows.mapInArrow(_sentence_spans, "toxic int, spans array<string>").toLocalIterator()
-    return fit(sorted((r.toxic, list(map(sys.intern, r.spans))) for r in bags))
+    model = fit(sorted((r.toxic, list(map(sys.intern, r.spans))) for r in bags))
+    give_back()  # the driver's memory, as later stages need it
+    return model
 
 
 def worker_scorer(value: tuple) -> Scorer:

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
+
+import pytest
 
 from decklattice.llm import shingles, simhash
 
@@ -90,3 +93,17 @@ def test_sketches_agree_as_sets_do():
         differ = sum((a ^ c) >> 2 * k & 3 != 0 or (b ^ d) >> 2 * k & 3 != 0 for k in range(32))
         assert differ <= 16
     assert shingles.sketch(np.empty(0, np.int64)) == (0, 0)
+
+
+def test_common_shingles_come_to_the_driver_as_arrays(spark, monkeypatch):
+    """Half a million Row objects beside the JVM's heap were too much for the driver."""
+    texts = ["one two three four five six", "one two three four five six", "two three four five six", "seven eight nine"]
+    slim = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "key long, text string")
+    monkeypatch.setattr(type(slim), "collect", lambda self: pytest.fail("rows were collected as objects"))
+    h, rank = shingles._common(slim, 3)
+    counts = Counter(x for t in texts for x in shingles.shingle_hashes(t, 3).tolist())
+    want = sorted((x for x, n in counts.items() if n > 1), key=lambda x: (-counts[x], x))
+    assert h.tolist() == sorted(want)
+    assert [x for _, x in sorted(zip(-rank, h.tolist()))] == want
+    empty, _ = shingles._common(slim.limit(0), 3)
+    assert len(empty) == 0

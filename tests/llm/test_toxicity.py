@@ -4,6 +4,7 @@ import itertools
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from decklattice.llm import toxicity
@@ -70,3 +71,16 @@ def test_odd_inputs(spark, fitted):
     assert kept.columns == ["doc_id", "text", "score"] and kept.count() == 4
     nothing = toxicity.train(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(spark.createDataFrame(rows, SCHEMA), nothing).where("predicted = 1").count() == 0
+
+
+def test_the_driver_makes_no_copy_of_all_landmarks():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    marks, factors = rng.random((64, toxicity.DIMS), np.float32), rng.random(64)
+    tracemalloc.start()
+    got = toxicity._combined(factors, marks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < marks.nbytes / 4
+    assert np.allclose(got, factors @ marks, rtol=1e-6) and got.dtype == np.float32
